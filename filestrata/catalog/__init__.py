@@ -1,7 +1,7 @@
 """The registered queries and, where SQL can say the same, their check SQL."""
-from . import columns, rollups
+from . import code, columns, exchange, rollups
 
-_FAMILIES = (columns, rollups)
+_FAMILIES = (columns, rollups, code, exchange)
 
 
 def queries() -> dict:

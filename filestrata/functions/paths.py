@@ -80,15 +80,20 @@ def is_listed(path: Column) -> Column:
     )
 
 
+def _one_of(value: Column, words: list[str]) -> Column:
+    """Membership in a constant array, which the optimizer folds from one literal."""
+    return F.array_contains(F.split(F.lit(" ".join(words)), " "), value)
+
+
 def is_text(path: Column) -> Column:
     ext = suffix(path)
-    return ext.isin(fixed.TEXT_EXTENSIONS) | (
+    return _one_of(ext, fixed.TEXT_EXTENSIONS) | (
         (ext == "") & F.lower(name(path)).isin(fixed.TEXT_NAMES)
     )
 
 
 def is_capsule_text(path: Column) -> Column:
-    return suffix(path).isin(fixed.CAPSULE_TEXT_EXTENSIONS)
+    return _one_of(suffix(path), fixed.CAPSULE_TEXT_EXTENSIONS)
 
 
 def glob_regex(pattern: str) -> str:
@@ -123,8 +128,9 @@ def glob_selected(path: Column, include: list[str], exclude: list[str]) -> Colum
 # --- classes ---------------------------------------------------------------------------
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*entries), key)
+    """Value of a constant map, which the optimizer folds from one literal."""
+    entries = ";".join(f"{k}:{v}" for k, v in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(entries), F.lit(";"), F.lit(":")), key)
 
 
 def language(path: Column, dialect: str) -> Column:
@@ -135,7 +141,7 @@ def language(path: Column, dialect: str) -> Column:
     elif dialect == "content":
         default = F.lit("text")
     elif dialect == "capsule":
-        default = F.when(ext.isin(fixed.CAPSULE_TEXT_EXTENSIONS), "text").otherwise("binary")
+        default = F.when(_one_of(ext, fixed.CAPSULE_TEXT_EXTENSIONS), "text").otherwise("binary")
     else:
         bare = F.ltrim(ext, F.lit("."))
         default = F.when(bare == "", "file").otherwise(bare)
@@ -143,16 +149,16 @@ def language(path: Column, dialect: str) -> Column:
 
 
 def has_deep_text(path: Column) -> Column:
-    return ~language(path, "deep").isin(fixed.MEDIA_LANGUAGES)
+    return ~_one_of(language(path, "deep"), fixed.MEDIA_LANGUAGES)
 
 
 def section_kind(path: Column) -> Column:
     ext, file_name = suffix(path), F.lower(name(path))
     return (
-        F.when(ext.isin(fixed.CONFIG_EXTENSIONS) | file_name.isin(fixed.CONFIG_NAMES), "config")
-        .when(ext.isin(fixed.DOC_EXTENSIONS) | file_name.startswith("readme"), "docs")
-        .when(ext.isin(fixed.CODE_EXTENSIONS), "code")
-        .when(ext.isin(fixed.DATA_EXTENSIONS), "data")
+        F.when(_one_of(ext, fixed.CONFIG_EXTENSIONS) | file_name.isin(fixed.CONFIG_NAMES), "config")
+        .when(_one_of(ext, fixed.DOC_EXTENSIONS) | file_name.startswith("readme"), "docs")
+        .when(_one_of(ext, fixed.CODE_EXTENSIONS), "code")
+        .when(_one_of(ext, fixed.DATA_EXTENSIONS), "data")
         .when(~is_capsule_text(path), "binary")
         .otherwise("text")
     )

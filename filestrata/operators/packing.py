@@ -37,8 +37,9 @@ def _unpacked(data: pd.Series) -> pd.Series:
 
 
 def pack(data: Column, codec: str = "zstd_b64") -> Column:
-    """Base64 text of the bytes, compressed unless the codec is ``none``."""
-    return F.base64(data if codec == "none" else _packed(data))
+    """Unbroken Base64 text of the bytes, compressed unless the codec is ``none``."""
+    encoded = F.base64(data if codec == "none" else _packed(data))
+    return F.replace(encoded, F.lit("\r\n"), F.lit(""))
 
 
 def unpack(payload: Column, codec: str = "zstd_b64") -> Column:
@@ -49,7 +50,7 @@ def unpack(payload: Column, codec: str = "zstd_b64") -> Column:
 def packed_files(files: DataFrame, codec: str = "zstd_b64") -> DataFrame:
     data = F.col("content_bytes")
     return files.filter(data.isNotNull()).select(
-        "project_id", "path", F.octet_length(data).alias("size_bytes"),
+        "project_id", "path", F.octet_length(data).cast("long").alias("size_bytes"),
         F.sha2(data, 256).alias("sha256"), F.lit(codec).alias("codec"),
         pack(data, codec).alias("payload"))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed, paths, scores, text
 
@@ -241,9 +241,16 @@ def values(facts: DataFrame, column: Column, name: str = "value") -> DataFrame:
     return facts.select(*KEY, F.explode(column).alias(name))
 
 
+def with_empty_lists(rows: DataFrame) -> DataFrame:
+    """Empty arrays in place of NULL ones, as files without a parse have them."""
+    return rows.withColumns({
+        f.name: F.coalesce(f.name, F.array().cast(f.dataType))
+        for f in rows.schema.fields if isinstance(f.dataType, T.ArrayType)
+    })
+
+
 def engine_analysis(files: DataFrame, facts: DataFrame) -> DataFrame:
     """The analysis row of every file; fields that need a parse are empty without one."""
-    cc, todo = engine_complexity(), text.comment_markers(F.col("content"))
     parsed = facts.filter("facts.parse_ok").select(
         *KEY, engine_import_list().alias("imports"),
         F.transform(_in_walk_order("classes"), lambda c: F.struct(
@@ -254,15 +261,16 @@ def engine_analysis(files: DataFrame, facts: DataFrame) -> DataFrame:
             f["returns"].alias("returns"), doc_line(f["doc"], "engine").alias("doc1"),
             f["lineno"].alias("lineno"))).alias("functions"),
         engine_test_list().alias("tests"), ui_base_list(True).alias("windows"),
-        ui_base_list(False).alias("widgets"), cc.alias("cyclomatic"), todo.alias("todo_count"))
+        ui_base_list(False).alias("widgets"), engine_complexity().alias("cyclomatic"), "todo_count")
     rows = files.select(*KEY, "size_bytes", F.coalesce("lines", F.lit(0)).alias("sloc"),
                         paths.language(F.col("path"), "engine").alias("language"))
     path = F.col("path")
-    return rows.join(parsed, KEY, "left").withColumns({
+    joined = with_empty_lists(rows.join(parsed, KEY, "left"))
+    return joined.withColumns({
         "cyclomatic": F.coalesce("cyclomatic", F.lit(0)),
         "todo_count": F.coalesce("todo_count", F.lit(0)),
     }).withColumns({
         "hotspot": scores.hotspot(F.col("cyclomatic"), F.col("todo_count")),
         "responsibility": paths.role_from_symbols(
-            path, *(F.coalesce(F.size(c), F.lit(0)) for c in ("windows", "classes", "functions", "imports"))),
+            path, *(F.size(c) for c in ("windows", "classes", "functions", "imports"))),
     })

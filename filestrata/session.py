@@ -3,16 +3,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and read it back from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a throw-away one is
-    made only for a local master that names none.
+    A throw-away one is made only for a local master that names none.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -20,4 +19,10 @@ def frozen(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="filestrata-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder and read it back from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import paths
+from ..functions import paths, text
 from ..schemas import FACTS
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -131,18 +131,23 @@ def _collect(tree: ast.Module) -> dict:
 
 
 def python_facts(files: DataFrame) -> DataFrame:
-    """(project_id, path, content, facts) of every Python file with text; other files never reach Python."""
-    key = [T.StructField("project_id", T.StringType()), T.StructField("path", T.StringType()),
-           T.StructField("content", T.StringType())]
-    schema = T.StructType([*key, T.StructField("facts", FACTS)])
+    """Facts of every Python file with text, as (project_id, path, todo_count, headings, facts).
+
+    Other files never reach Python, and the text itself does not come back: the two columns that
+    need it are computed beside the parse. Freeze the result where several views are taken.
+    """
+    path, content = F.col("path"), F.col("content")
+    sources = files.filter((paths.suffix(path) == ".py") & content.isNotNull()).select(
+        "project_id", "path", text.comment_markers(content).alias("todo_count"),
+        text.headings(content, 10, indented=True).alias("headings"), "content")
+    schema = T.StructType([*sources.drop("content").schema.fields, T.StructField("facts", FACTS)])
     arrow = to_arrow_schema(schema)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents = batch.column("content")
-            parsed = pa.array([facts(text.as_py()) for text in contents], type=arrow.field("facts").type)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("project_id"), batch.column("path"), contents, parsed], schema=arrow)
+            found = pa.array([facts(source.as_py()) for source in batch.column("content")],
+                             type=arrow.field("facts").type)
+            kept = [batch.column(name).cast(arrow.field(name).type) for name in arrow.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, found], schema=arrow)
 
-    sources = files.filter((paths.suffix(F.col("path")) == ".py") & F.col("content").isNotNull())
-    return sources.select("project_id", "path", "content").mapInArrow(parse, schema)
+    return sources.mapInArrow(parse, schema)

@@ -30,8 +30,13 @@ def files_table(raw: DataFrame) -> DataFrame:
     return rows.select(*FILES.names)
 
 
+def _whole(value: Column, divisor: int) -> Column:
+    return F.call_function("div", value, F.lit(divisor))
+
+
 def _pick(options: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), (index % len(options) + 1).cast("int"))
+    """One of the constants, by index; chr(0) separates them in one folded literal."""
+    return F.element_at(F.split(F.lit(chr(0).join(options)), chr(0)), (index % len(options) + 1).cast("int"))
 
 
 # How document rows become files of a project. Each tail seeds text that prose lacks.
@@ -52,11 +57,11 @@ DOCUMENT_TAILS = [
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as files: the source is the project, language and id make the path."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    step = F.floor(F.col("doc_id") / 20)
+    step = _whole(F.col("doc_id"), 20)
     path = F.concat_ws(
-        "/", F.col("lang"), _pick(DOCUMENT_DIRS, F.floor(step / 8)),
+        "/", F.col("lang"), _pick(DOCUMENT_DIRS, _whole(step, 8)),
         F.concat(F.lit("d"), F.col("doc_id").cast("string"), _pick(DOCUMENT_NAMES, step)))
-    variant = F.floor(step / 3)
+    variant = _whole(step, 3)
     stored = F.concat(_pick(DOCUMENT_HEADS, variant), F.col("text"), _pick(DOCUMENT_TAILS, variant))
     day = (F.col("doc_id") % 28 + 1).cast("int")
     return files_table(docs.select(
