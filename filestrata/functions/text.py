@@ -4,22 +4,29 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The characters counted as white space, and those that end a line.
-WHITESPACE = "".join(map(chr, [
+SPACE = "".join(map(chr, [
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]))
-SPACE = r"\p{Z}\t-\r\x1c-\x1f\x85"
+SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+OTHER_BREAKS = "".join(map(chr, [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029]))
 LINE_END = rf"\r\n|[{BREAKS}]"
 WORD_CHAR = r"\p{L}\p{N}_"
 
 
 def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+    """From the first visible character to the last; '' when there is none."""
+    return F.regexp_extract(text, rf"(?s)[^{SPACE}](?:.*[^{SPACE}])?", 0)
+
+
+def rstrip(text: Column) -> Column:
+    return F.regexp_extract(text, rf"(?s)^.*[^{SPACE}]", 0)
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+    """No visible character; the search stops at the first one."""
+    return ~text.rlike(rf"[^{SPACE}]")
 
 
 def unify_newlines(text: Column) -> Column:
@@ -31,13 +38,28 @@ def normalise_eol(text: Column, eol: str = "LF") -> Column:
     unified = unify_newlines(text)
     if eol.upper() != "LF":
         return unified
-    closed = F.concat(F.rtrim(unified, F.lit(WHITESPACE)), F.lit("\n"))
+    closed = F.concat(rstrip(unified), F.lit("\n"))
     return F.when(unified == "", unified).otherwise(closed)
 
 
+def unify_breaks(text: Column) -> Column:
+    """Every line end as one LF. Plain replacements cost far less than a pattern per character."""
+    unified = unify_newlines(text)
+    for mark in OTHER_BREAKS:
+        unified = F.replace(unified, F.lit(mark), F.lit("\n"))
+    return unified
+
+
+def split_lines(text: Column, limit: int = -1) -> Column:
+    return F.split(unify_breaks(text), "\n", limit)
+
+
+def _feeds(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def line_count(text: Column) -> Column:
-    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
-    return F.when(is_blank(text), 0).otherwise(feeds + 1).cast("long")
+    return F.when(is_blank(text), 0).otherwise(_feeds(text) + 1).cast("long")
 
 
 def word_count(text: Column) -> Column:
@@ -46,7 +68,7 @@ def word_count(text: Column) -> Column:
 
 def sloc(text: Column) -> Column:
     """Non-blank lines: one match runs from a line's first visible character to its end."""
-    found = F.regexp_count(text, F.lit(rf"[^{SPACE}][^{BREAKS}]*"))
+    found = F.regexp_count(unify_breaks(text), F.lit(rf"(?d)[^{SPACE}].*"))
     return F.coalesce(found, F.lit(0)).cast("long")
 
 
@@ -57,7 +79,7 @@ def comment_markers(text: Column) -> Column:
 
 def word_markers(text: Column) -> Column:
     found = F.regexp_count(
-        text, F.lit(rf"(?iu)(?<![{WORD_CHAR}])(?:TODO|FIXME|XXX)(?![{WORD_CHAR}])"))
+        text, F.lit(rf"(?iu)(?=[tfx])(?<![{WORD_CHAR}])(?:TODO|FIXME|XXX)(?![{WORD_CHAR}])"))
     return F.coalesce(found, F.lit(0)).cast("long")
 
 
@@ -73,9 +95,9 @@ def content_hash(text: Column) -> Column:
 
 def preview(text: Column, limit: int = 10) -> Column:
     """The first lines, then how many more there are; short texts come back unchanged."""
-    total = F.regexp_count(text, F.lit(LINE_END)) + F.when(
-        text.rlike(rf"[{BREAKS}]\z"), 0).otherwise(1)
-    head = F.array_join(F.slice(F.split(text, LINE_END, limit + 1), 1, limit), "\n")
+    unified = unify_breaks(text)
+    total = _feeds(unified) + F.when(unified.endswith("\n"), 0).otherwise(1)
+    head = F.array_join(F.slice(F.split(unified, "\n", limit + 1), 1, limit), "\n")
     more = F.concat(F.lit("\n... ("), (total - limit).cast("string"), F.lit(" more lines)"))
     return (
         F.when(text.isNull() | (text == ""), "")
@@ -85,7 +107,9 @@ def preview(text: Column, limit: int = 10) -> Column:
 
 
 def stripped_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, LINE_END), strip), lambda line: line != "")
+    """Non-blank lines, stripped: from a line's first visible character to its last."""
+    return F.regexp_extract_all(
+        unify_breaks(text), F.lit(rf"(?d)[^{SPACE}](?:.*[^{SPACE}])?"), F.lit(0))
 
 
 def summary(text: Column, file_name: Column, limit: int = 3) -> Column:
@@ -99,7 +123,7 @@ def headings(text: Column, limit: int, indented: bool = False) -> Column:
     def marked(line: Column) -> Column:
         return (strip(line) if indented else line).startswith("#")
 
-    found = F.filter(F.split(text, LINE_END), marked)
+    found = F.filter(split_lines(text), marked)
     return F.slice(F.transform(found, lambda line: F.btrim(line, F.lit("# "))), 1, limit)
 
 

@@ -19,7 +19,7 @@ def _empty() -> Column:
 
 
 def _in_walk_order(items: str) -> Column:
-    """Breadth-first order; ``walk`` is the structs' first field."""
+    """Breadth-first order: the structs start with their depth and place in the source."""
     return F.array_sort(F.col(f"facts.{items}"))
 
 
@@ -192,11 +192,11 @@ def outline(limit: int) -> Column:
     functions = F.transform(
         F.filter("facts.functions", lambda f: f["top"]),
         lambda f: F.struct(
-            f["walk"].alias("walk"), F.when(f["is_async"], "async").otherwise("func").alias("kind"),
+            f["seen"].alias("seen"), F.when(f["is_async"], "async").otherwise("func").alias("kind"),
             signature(f, "capsule").alias("name"), F.lit(None).cast("array<string>").alias("methods")))
     classes = F.transform(
         F.filter("facts.classes", lambda c: c["top"]),
-        lambda c: F.struct(c["walk"].alias("walk"), F.lit("class").alias("kind"),
+        lambda c: F.struct(c["seen"].alias("seen"), F.lit("class").alias("kind"),
                            c["name"].alias("name"), c["sync_methods"].alias("methods")))
     calls = F.filter(F.transform("facts.calls", lambda c: c["dotted"]), lambda d: d != "")
     return F.struct(

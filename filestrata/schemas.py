@@ -27,13 +27,15 @@ FACTS = T.StructType([
     T.StructField("decisions", T.IntegerType()),
     T.StructField("main_guard", T.BooleanType()),
     T.StructField("imports", T.ArrayType(T.StructType([
-        T.StructField("walk", T.IntegerType()),
+        T.StructField("depth", T.IntegerType()),
+        T.StructField("seen", T.IntegerType()),    # place in source order
         T.StructField("top", T.BooleanType()),
         T.StructField("module", T.StringType()),   # NULL for a plain import
         T.StructField("names", T.ArrayType(T.StringType())),
     ]))),
     T.StructField("classes", T.ArrayType(T.StructType([
-        T.StructField("walk", T.IntegerType()),
+        T.StructField("depth", T.IntegerType()),
+        T.StructField("seen", T.IntegerType()),    # place in source order
         T.StructField("top", T.BooleanType()),
         T.StructField("name", T.StringType()),
         T.StructField("qualname", T.StringType()),
@@ -46,7 +48,8 @@ FACTS = T.StructType([
         T.StructField("sync_methods", T.ArrayType(T.StringType())),
     ]))),
     T.StructField("functions", T.ArrayType(T.StructType([
-        T.StructField("walk", T.IntegerType()),
+        T.StructField("depth", T.IntegerType()),
+        T.StructField("seen", T.IntegerType()),    # place in source order
         T.StructField("top", T.BooleanType()),
         T.StructField("name", T.StringType()),
         T.StructField("qualname", T.StringType()),

@@ -26,3 +26,22 @@ def frozen(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and read it back from there."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over at least one task per core, ahead of work that costs far more than a shuffle."""
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(configured, spark.sparkContext.defaultParallelism), *keys)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the jobs are measured with; all can change at run time.
+
+    The JVM does not compile methods above 8000 bytes, so a fused stage beyond that would run its
+    pattern loops interpreted. Such stages fall back to split, compiled projections.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    return spark

@@ -141,9 +141,8 @@ def analysis_markdown(analysis: DataFrame, contents: DataFrame | None = None) ->
 
 def plaintext_dump(files: DataFrame) -> DataFrame:
     """Plain-text blocks; every line loses its trailing white space."""
-    ends = text.LINE_END
-    body = F.regexp_replace(F.col("content"), rf"(?:{ends})\z", "")
-    lines = F.transform(F.split(body, ends), lambda l: F.rtrim(l, F.lit(text.WHITESPACE)))
+    body = F.regexp_replace(text.unify_breaks(F.col("content")), r"\n\z", "")
+    lines = F.transform(F.split(body, "\n"), lambda l: text.rstrip(l))
     shown_lines = F.when(F.col("content") == "", F.lit(None)).otherwise(F.array_join(lines, "\n"))
     block = _joined(
         F.concat(F.lit("\n--- "), "path", F.lit(" ---")),

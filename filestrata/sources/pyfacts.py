@@ -14,10 +14,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import paths, text
 from ..schemas import FACTS
+from ..session import spread
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.With, ast.AsyncWith, ast.ExceptHandler)
-_DECISIONS = (ast.If, ast.For, ast.While, ast.And, ast.Or, ast.Try, ast.BoolOp, ast.With)
+_PLACED = frozenset([ast.Import, ast.ImportFrom, ast.ClassDef, *_DEFS])
+_BRANCHES = frozenset([ast.If, ast.While, ast.For, ast.AsyncFor, ast.With, ast.AsyncWith, ast.ExceptHandler])
+# A boolean expression weighs two: the expression and its operator are both decisions.
+_DECISIONS = {ast.If: 1, ast.For: 1, ast.While: 1, ast.Try: 1, ast.BoolOp: 2, ast.With: 1}
+_LEAF_FIELDS = frozenset(["ctx", "op", "ops"])
 
 
 def _plain(value: str | None) -> str | None:
@@ -44,7 +48,7 @@ def _text(node: ast.AST | None) -> str | None:
 
 
 def _is_main_guard(node: ast.AST) -> bool:
-    if not isinstance(node, ast.If):
+    if type(node) is not ast.If:
         return False
     test = ast.unparse(node.test)
     return "__name__" in test and "__main__" in test
@@ -64,69 +68,101 @@ def _args(spec: ast.arguments) -> list[dict]:
     ]
 
 
-def _in_source_order(tree: ast.AST) -> Iterator[tuple[ast.AST, tuple[str, ...]]]:
-    """Nodes before their children, each with the names of the classes around it."""
-    stack: list[tuple[ast.AST, tuple[str, ...]]] = [(tree, ())]
-    while stack:
-        node, owners = stack.pop()
-        yield node, owners
-        inner = (*owners, node.name) if isinstance(node, ast.ClassDef) else owners
-        stack.extend((child, inner) for child in reversed(list(ast.iter_child_nodes(node))))
+def _children(node: ast.AST) -> list[ast.AST]:
+    """Child nodes in source order, without bare names and operators: no fact starts there."""
+    found = []
+    for name in node._fields:
+        if name in _LEAF_FIELDS:
+            continue
+        value = getattr(node, name, None)
+        if isinstance(value, ast.AST):
+            if type(value) is not ast.Name:
+                found.append(value)
+        elif isinstance(value, list):
+            found.extend(item for item in value if isinstance(item, ast.AST) and type(item) is not ast.Name)
+    return found
 
 
 def facts(source: str) -> dict:
     """All facts of one file; only ``parse_ok`` is set when it does not parse."""
     try:
-        tree = ast.parse(source)
-        return _collect(tree)
+        return _collect(ast.parse(source))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return {"parse_ok": False}
 
 
+def _import(node: ast.Import | ast.ImportFrom) -> dict:
+    module = (node.module or "") if isinstance(node, ast.ImportFrom) else None
+    return {"module": module, "names": [alias.name for alias in node.names]}
+
+
+def _definition(node, owners: tuple[str, ...]) -> dict:
+    return {
+        "name": node.name, "qualname": ".".join((*owners, node.name)), "lineno": node.lineno,
+        "doc": _plain(ast.get_docstring(node)), "decorators": [_named(d) or "" for d in node.decorator_list],
+    }
+
+
+def _class(node: ast.ClassDef) -> dict:
+    return {
+        "bases": [_plain(ast.unparse(b)) for b in node.bases], "base_names": [_named(b) for b in node.bases],
+        "methods": [n.name for n in node.body if isinstance(n, _DEFS)],
+        "sync_methods": [n.name for n in node.body if isinstance(n, ast.FunctionDef)],
+    }
+
+
+def _function(node) -> dict:
+    return {
+        "is_async": isinstance(node, ast.AsyncFunctionDef), "args": _args(node.args),
+        "returns": _plain(ast.unparse(node.returns)) if node.returns else None,
+        "branches": 0, "main_guard": any(map(_is_main_guard, node.body)),
+    }
+
+
+def _call(node: ast.Call) -> dict:
+    return {
+        "target": _named(node.func), "dotted": _chain(node.func, lambda _: None),
+        "first_arg": _text(node.args[0]) if node.args else None,
+        "keywords": [{"name": k.arg, "value": _text(k.value)} for k in node.keywords if k.arg],
+    }
+
+
 def _collect(tree: ast.Module) -> dict:
-    walk = {id(node): i for i, node in enumerate(ast.walk(tree))}
-    top = {id(node) for node in tree.body}
+    """One pass in source order; each node knows its depth, its classes and its functions."""
     out: dict = {
         "parse_ok": True, "doc": _plain(ast.get_docstring(tree)), "decisions": 0, "main_guard": False,
         "imports": [], "classes": [], "functions": [], "calls": [], "subscripts": [], "strings": [],
     }
-    for node, owners in _in_source_order(tree):
-        where = {"walk": walk[id(node)], "top": id(node) in top}
-        out["decisions"] += isinstance(node, _DECISIONS)
-        out["main_guard"] = out["main_guard"] or _is_main_guard(node)
-        if isinstance(node, (ast.Import, ast.ImportFrom)):
-            module = (node.module or "") if isinstance(node, ast.ImportFrom) else None
-            out["imports"].append(where | {"module": module, "names": [a.name for a in node.names]})
-        elif isinstance(node, (ast.ClassDef, *_DEFS)):
-            shared = where | {
-                "name": node.name, "qualname": ".".join((*owners, node.name)), "lineno": node.lineno,
-                "doc": _plain(ast.get_docstring(node)),
-                "decorators": [_named(d) or "" for d in node.decorator_list],
-            }
-            if isinstance(node, ast.ClassDef):
-                out["classes"].append(shared | {
-                    "bases": [_plain(ast.unparse(b)) for b in node.bases],
-                    "base_names": [_named(b) for b in node.bases],
-                    "methods": [n.name for n in node.body if isinstance(n, _DEFS)],
-                    "sync_methods": [n.name for n in node.body if isinstance(n, ast.FunctionDef)],
-                })
-            else:
-                out["functions"].append(shared | {
-                    "is_async": isinstance(node, ast.AsyncFunctionDef), "args": _args(node.args),
-                    "returns": _plain(ast.unparse(node.returns)) if node.returns else None,
-                    "branches": sum(isinstance(n, _BRANCHES) for n in ast.walk(node)),
-                    "main_guard": any(map(_is_main_guard, node.body)),
-                })
-        elif isinstance(node, ast.Call):
-            out["calls"].append({
-                "target": _named(node.func), "dotted": _chain(node.func, lambda _: None),
-                "first_arg": _text(node.args[0]) if node.args else None,
-                "keywords": [{"name": k.arg, "value": _text(k.value)} for k in node.keywords if k.arg],
-            })
-        elif isinstance(node, ast.Subscript):
+    seen = 0
+    stack: list[tuple] = [(tree, 0, (), ())]
+    while stack:
+        node, depth, owners, around = stack.pop()
+        kind = type(node)
+        seen += 1
+        out["decisions"] += _DECISIONS.get(kind, 0)
+        if kind in _BRANCHES:
+            for function in around:
+                function["branches"] += 1
+            if kind is ast.If and not out["main_guard"]:
+                out["main_guard"] = _is_main_guard(node)
+        elif kind is ast.Call:
+            out["calls"].append(_call(node))
+        elif kind is ast.Constant:
+            if isinstance(node.value, str):
+                out["strings"].append(_plain(node.value))
+        elif kind is ast.Subscript:
             out["subscripts"].append({"target": _named(node.value), "key": _text(node.slice)})
-        elif isinstance(node, ast.Constant) and isinstance(node.value, str):
-            out["strings"].append(_plain(node.value))
+        elif kind in _PLACED:
+            where = {"depth": depth, "seen": seen, "top": depth == 1}
+            if kind is ast.ClassDef:
+                out["classes"].append(where | _definition(node, owners) | _class(node))
+                owners = (*owners, node.name)
+            elif kind in _DEFS:
+                out["functions"].append(where | _definition(node, owners) | _function(node))
+                around = (*around, out["functions"][-1])
+            else:
+                out["imports"].append(where | _import(node))
+        stack.extend((child, depth + 1, owners, around) for child in reversed(_children(node)))
     return out
 
 
@@ -134,7 +170,9 @@ def python_facts(files: DataFrame) -> DataFrame:
     """Facts of every Python file with text, as (project_id, path, todo_count, headings, facts).
 
     Other files never reach Python, and the text itself does not come back: the two columns that
-    need it are computed beside the parse. Freeze the result where several views are taken.
+    need it are computed beside the parse. Parsing costs far more than moving the text, so files
+    are spread by key first: no task is left with one input split's share of large files. Freeze
+    the result where several views are taken.
     """
     path, content = F.col("path"), F.col("content")
     sources = files.filter((paths.suffix(path) == ".py") & content.isNotNull()).select(
@@ -150,4 +188,4 @@ def python_facts(files: DataFrame) -> DataFrame:
             kept = [batch.column(name).cast(arrow.field(name).type) for name in arrow.names[:-1]]
             yield pa.RecordBatch.from_arrays([*kept, found], schema=arrow)
 
-    return sources.mapInArrow(parse, schema)
+    return spread(sources, "project_id", "path").mapInArrow(parse, schema)

@@ -33,8 +33,8 @@ def detected_format(file_name: Column, document: Column) -> Column:
 
 
 def looks_like_html(document: Column) -> Column:
-    start = F.lower(F.ltrim(document, F.lit(text.WHITESPACE)))
-    return start.startswith("<!doctype html") | F.contains(F.lower(F.substring(document, 1, 500)), F.lit("<html"))
+    doctype = document.rlike(rf"(?i)^[{text.SPACE}]*<!doctype html")
+    return doctype | F.contains(F.lower(F.substring(document, 1, 500)), F.lit("<html"))
 
 
 def project_name(document: Column) -> Column:
@@ -152,7 +152,7 @@ def recovered_files(found: DataFrame, dialect: str) -> DataFrame:
     content = F.col("content")
     closed = {
         "json": content,
-        "full": F.concat(F.rtrim(content, F.lit(text.WHITESPACE)), F.lit("\n")),
+        "full": F.concat(text.rstrip(content), F.lit("\n")),
         "plain": F.concat(F.btrim(content, F.lit("\n")), F.lit("\n")),
     }[dialect]
     return found.filter(safe_path(F.col("path"))).withColumn("content", closed)
