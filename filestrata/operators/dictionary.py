@@ -4,10 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text
-from ..session import frozen
-from .joins import fits_broadcast, lookup_join
+from ..session import frozen, spread
+from .joins import lookup_join
+from .numbering import number_rows
 
 BUCKETS = 64
+_POSITION_BITS = 28  # 2**28 words per file, 2**35 files per project
 
 
 def _words(content: Column, pattern: str, sample_chars: int | None) -> Column:
@@ -20,38 +22,24 @@ def token_dictionary(texts: DataFrame, size: int = 256, pattern: str = fixed.CAP
     """Top ``size`` words per project as (project_id, rank, token, word, n).
 
     ``texts`` is (project_id, *order, content). Equal counts rank by first occurrence in the
-    order of the files. Counting uses long counters only and combines before the shuffle; where
-    a word first occurs is then looked up for words that share their count with another
-    candidate, from each file's distinct words. ``sample_chars`` limits the text read per file;
-    by default whole texts count.
+    order of the files. The files are numbered first, from their names alone, so that a place in
+    the project is one long: counting then needs one pass over the texts with fixed-width
+    counters, combined before the shuffle. The numbers meet the texts in a hash join that moves
+    each text once, which is small beside cutting it into words, and spreads them evenly.
+    ``sample_chars`` limits the text read per file; by default whole texts count.
     """
+    keys = ["project_id", *order]
+    numbers = number_rows(texts.select(*keys), ["project_id"], list(order), "_file", "_files").drop("_files")
+    placed = spread(texts.select(*keys, "content"), *keys).join(numbers.hint("shuffle_hash"), keys)
     found = _words(F.col("content"), pattern, sample_chars)
-    counts = frozen(
-        texts.select("project_id", F.explode(found).alias("word"))
-        .groupBy("project_id", "word").agg(F.count("*").alias("n"))
-    )
-    # The count of the size-th word bounds the candidates; ties at the bound stay in.
-    by_count = Window.partitionBy("project_id").orderBy(F.desc("n"))
-    least = (
-        counts.withColumn("_place", F.row_number().over(by_count)).filter(F.col("_place") <= size)
-        .groupBy("project_id").agg(F.min("n").alias("_least"))
-    )
-    candidates = frozen(counts.join(least, "project_id").filter("n >= _least").drop("_least"))
-    shared = candidates.groupBy("project_id", "n").count().filter("count > 1").drop("count")
-    tied = frozen(candidates.join(shared, ["project_id", "n"], "left_semi").select("project_id", "word"))
-    if fits_broadcast(tied):
-        tied = F.broadcast(tied)
-    firsts = (
-        texts.select("project_id", F.struct(*order).alias("_file"),
-                     F.posexplode(F.array_distinct(found)).alias("_pos", "word"))
-        .join(tied, ["project_id", "word"], "left_semi")
-        .groupBy("project_id", "word")
-        .agg(F.min(F.struct("_file", "_pos")).alias("_first"))
+    place = F.col("_file") * (1 << _POSITION_BITS) + F.col("_pos")
+    counts = (
+        placed.select("project_id", "_file", F.posexplode(found).alias("_pos", "word"))
+        .groupBy("project_id", "word").agg(F.count("*").alias("n"), F.min(place).alias("_first"))
     )
     ranked = Window.partitionBy("project_id").orderBy(F.desc("n"), "_first")
     return (
-        candidates.join(firsts, ["project_id", "word"], "left")
-        .withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= size)
+        counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= size)
         .select("project_id", "rank", F.concat(F.lit("§"), F.col("rank").cast("string")).alias("token"),
                 "word", "n")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
+from ..session import frozen
 
 
 def _above(files: DataFrame, *columns: str) -> DataFrame:
@@ -22,9 +23,10 @@ def directory_rollup(files: DataFrame) -> DataFrame:
     """One row per directory: its parent, its files at any depth and its direct children.
 
     Partial sums run before the shuffle, so a project's root is one row per task. Children are
-    counted, not listed: the list is this table itself, filtered on ``parent``.
+    counted, not listed: the list is this table itself, filtered on ``parent``. The directories
+    are frozen before their children are counted, so the paths are exploded once.
     """
-    tree = (
+    tree = frozen(
         _above(files, "size_bytes").groupBy("project_id", "dir")
         .agg(
             F.count("*").alias("n_files"),

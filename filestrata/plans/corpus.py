@@ -28,7 +28,9 @@ def corpus_segments(analysis: DataFrame) -> DataFrame:
     """(project_id, section, place, path, content): a head row, then one segment per file.
 
     Joined by blanks in the order of section, place and path they are the project's document.
+    The analysis feeds both kinds of row, so it is frozen: its sources are parsed once.
     """
+    analysis = frozen(analysis)
     classes = F.flatten(F.transform("classes", lambda c: _with_doc(
         F.concat(F.lit("Class: "), c["name"]), c["doc1"], _tagged("Method", c["methods"]))))
     functions = F.flatten(F.transform("functions", lambda f: _with_doc(

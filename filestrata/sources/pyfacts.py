@@ -183,8 +183,11 @@ def python_facts(files: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([facts(source.as_py()) for source in batch.column("content")],
-                             type=arrow.field("facts").type)
+            rows = [facts(source.as_py()) for source in batch.column("content")]
+            # Field by field: far faster than converting whole nested dicts.
+            fields = list(arrow.field("facts").type)
+            found = pa.StructArray.from_arrays(
+                [pa.array([row.get(f.name) for row in rows], type=f.type) for f in fields], fields=fields)
             kept = [batch.column(name).cast(arrow.field(name).type) for name in arrow.names[:-1]]
             yield pa.RecordBatch.from_arrays([*kept, found], schema=arrow)
 
