@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, paths, text
 from ..operators import dictionary, directories, fingerprint, merkle, numbering, selection, totals
+from ..session import frozen
 from ..sources.tables import document_files
 from .columns import KEY, _SELECTION, _selection
 from .sql import FILES, NAME, SUFFIX, WS_CHARS
@@ -185,7 +186,7 @@ def numbered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = document_files(spark, sf_dir).filter(paths.is_capsule_text(F.col("path"))).select(
         "project_id", paths.section_kind(F.col("path")).alias("kind"), "path",
         text.content_hash(text.normalise_eol(F.col("content"))).alias("hash"))
-    return numbering.number_rows(sections, ["project_id"], ["kind", "path"])
+    return numbering.number_rows(frozen(sections), ["project_id"], ["kind", "path"])
 
 
 _SECTIONS = f"""{FILES}, sections AS (

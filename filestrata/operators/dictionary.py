@@ -29,7 +29,8 @@ def token_dictionary(texts: DataFrame, size: int = 256, pattern: str = fixed.CAP
     ``sample_chars`` limits the text read per file; by default whole texts count.
     """
     keys = ["project_id", *order]
-    numbers = number_rows(texts.select(*keys), ["project_id"], list(order), "_file", "_files").drop("_files")
+    listing = frozen(texts.select(*keys))
+    numbers = number_rows(listing, ["project_id"], list(order), "_file", "_files").drop("_files")
     placed = spread(texts.select(*keys, "content"), *keys).join(numbers.hint("shuffle_hash"), keys)
     found = _words(F.col("content"), pattern, sample_chars)
     place = F.col("_file") * (1 << _POSITION_BITS) + F.col("_pos")

@@ -14,7 +14,8 @@ def number_rows(df: DataFrame, groups: list[str], order: list[str], number: str
     Rows are range-partitioned on groups and order, so a large group spans many sorted
     partitions. A row's number is its slot in its partition plus the group's rows in earlier
     partitions; only those per-partition counts meet in a window. The ranged rows are frozen
-    first: partition numbers must not change if a task runs again.
+    first: partition numbers must not change if a task runs again. Ranging samples its input and so
+    evaluates it twice: pass narrow rows, and freeze them where they are made from content.
     """
     keys = [*groups, *order]
     ranged = frozen(

@@ -43,22 +43,22 @@ def included_files(files: DataFrame, options: CapsuleOptions) -> DataFrame:
     textual = paths.is_capsule_text(path)
     kept = files.filter(
         paths.glob_selected(path, list(options.include), list(options.exclude))
-        & data.isNotNull() & (F.octet_length(data) <= options.max_file_size)
+        & data.isNotNull() & (F.col("size_bytes") <= options.max_file_size)
         & (F.lit(options.include_binary) | textual))
     return kept.select(
-        *KEY, F.octet_length(data).cast("long").alias("size_bytes"), "content_bytes",
+        *KEY, "size_bytes", "content_bytes",
         F.when(textual, text.normalise_eol(_valid_text(), options.eol)).alias("content"))
 
 
 def numbered_sections(included: DataFrame) -> DataFrame:
-    """Section rows without their text, numbered by kind and path."""
+    """Section rows without their text, numbered by kind and path; content is hashed once."""
     path = F.col("path")
     rows = included.select(
         "project_id", paths.section_kind(path).alias("kind"), "path",
         paths.language(path, "capsule").alias("language"), "size_bytes",
         F.coalesce(F.sha2("content", 256), F.sha2("content_bytes", 256)).alias("sha256"),
         paths.mime_or_default(path).alias("mime"))
-    return numbering.number_rows(rows, ["project_id"], ["kind", "path"]).withColumn(
+    return numbering.number_rows(frozen(rows), ["project_id"], ["kind", "path"]).withColumn(
         "section_id", F.format_string("sec-%04d", "number"))
 
 
