@@ -18,7 +18,7 @@ def _sha(s: str) -> str:
     return hashlib.sha256(s.encode()).hexdigest()
 
 
-def _reference_tree(hashes):
+def _brute_force_tree(hashes):
     level, nodes, n = list(hashes), [], 0
     while len(level) > 1:
         above = []
@@ -43,7 +43,7 @@ def test_hash_tree(spark, monkeypatch, span):
     for r in nodes.collect():
         found.setdefault(r["project_id"], []).append((r["node_id"], r["hash"]))
     for project, hashes in leaves.items():
-        expected, root = _reference_tree(hashes)
+        expected, root = _brute_force_tree(hashes)
         assert sorted(found.get(project, [])) == expected
         assert roots[project] == root
     assert spark.range(1).select(merkle.empty_root().alias("h")).first()["h"] == _sha("")
