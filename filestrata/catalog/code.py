@@ -58,7 +58,7 @@ _add(
 _add(
     "a2_engine_imports",
     lambda s, d: symbols.imports(_facts(s, d), "engine"),
-    f"""{WITH} SELECT project_id, path, o AS ord, m AS module, string_split(m, '.')[1] AS namespace FROM (
+    f"""{WITH} SELECT project_id, path, CAST(o AS INTEGER) AS ord, m AS module, string_split(m, '.')[1] AS namespace FROM (
           SELECT project_id, path, unnest(range(4)) AS o,
             unnest(['os', 'lib' || k % 7 || '.sub', 'pkg', '']) AS m FROM parts WHERE ok)""",
 )
@@ -66,7 +66,7 @@ _DEEP_IMPORTS = "['helper' || k % 3, 'lib' || k % 7 || '.sub', 'os', 'pkg.m' ||
 _add(
     "a2_deep_imports",
     lambda s, d: symbols.imports(_facts(s, d), "deep"),
-    f"""{WITH} SELECT project_id, path, o AS ord, m AS module, string_split(m, '.')[1] AS namespace FROM (
+    f"""{WITH} SELECT project_id, path, CAST(o AS INTEGER) AS ord, m AS module, string_split(m, '.')[1] AS namespace FROM (
           SELECT project_id, path, unnest(range(4)) AS o, unnest({_DEEP_IMPORTS}) AS m FROM parts WHERE ok)""",
 )
 _add(
