@@ -110,7 +110,7 @@ RULES = (
          "n_words >= 5 AND word_chars >= 3 * n_words AND word_chars <= 10 * n_words"),
     Rule("symbols", "n_words > 0 AND 10 * n_symbols > n_words", "n_words > 0 AND 50 * n_symbols <= n_words"),
     Rule("duplicate_lines", "n_lines >= 2 AND 10 * n_dup_lines > 3 * n_lines", "n_lines >= 2 AND n_dup_lines = 0"),
-    Rule("repeats", "n_words >= 10 AND 10 * n_repeat_words > n_words", "n_words >= 10 AND 50 * n_repeat_words <= n_words"),
+    Rule("repeats", "n_words >= 10 AND 5 * n_repeat_words > n_words", "n_words >= 10 AND 20 * n_repeat_words <= n_words"),
     Rule("capitals", "n_upper + n_lower >= 20 AND 2 * n_upper > n_lower", "n_upper + n_lower >= 20 AND 10 * n_upper <= n_lower"),
     Rule("shouts", "n_words >= 5 AND 10 * n_shouts > n_words", "n_words >= 5 AND 50 * n_shouts <= n_words"),
     Rule("function_words", "n_words >= 20 AND 50 * n_stops < n_words", "n_words >= 20 AND 10 * n_stops >= n_words"),
