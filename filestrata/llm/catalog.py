@@ -5,9 +5,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, near_copies, quality_rules, token_counts
+from . import byte_bpe, near_copies, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_near_copies": near_copies.op6_near_copies,
     "op7_token_counts": token_counts.op7_token_counts,
