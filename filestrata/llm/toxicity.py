@@ -100,7 +100,7 @@ def fitted(bags: list[tuple[int, list[list[int]]]], names: list[str], rounds: in
         clean = np.minimum(np.exp(log_clean), 1 - 1e-9)
         by_doc = np.where(labels == 1, -clean / (1 - clean), 1.0) / len(labels)
         by_z = by_doc[doc] / (1 + np.exp(-z))
-        gradient = np.concatenate((np.bincount(piece, by_z[sentence], len(names)) + 2e-5 * x[:-2], [by_z.sum()], [by_doc.sum() * leak]))
+        gradient = np.concatenate((np.bincount(piece, by_z[sentence], len(names)) + 1e-4 * x[:-2], [by_z.sum()], [by_doc.sum() * leak]))
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         x -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return Model(1 / (1 + math.exp(-x[-1])), float(x[-2]), {n: float(w) for n, w in zip(names, x) if abs(w) > 1e-3})
