@@ -30,8 +30,8 @@ from .words import Words, mixed, sequence_hash, window_hashes
 SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Members of a bucket that are compared pair by pair, and of a block beyond that.
-BLOCK = 64
+#: Members of a bucket that are compared pair by pair, and members of a block in larger buckets.
+PAIRWISE, BLOCK = 64, 256
 
 _RANDOM = np.random.default_rng(20240301)
 #: A random tour for each bin, with all bins at its end so that it meets a full one.
@@ -130,8 +130,8 @@ def _unlike(tagged: DataFrame) -> DataFrame:
 
 
 def _small_pairs(unlike: DataFrame) -> DataFrame:
-    """Pairs across components in buckets of at most `BLOCK` members, without those of the star round."""
-    small = unlike.filter(F.col("size") <= BLOCK).select("bucket", "member", "root", "main", "centre")
+    """Pairs across components in buckets of at most `PAIRWISE` members, without those of the star round."""
+    small = unlike.filter(F.col("size") <= PAIRWISE).select("bucket", "member", "root", "main", "centre")
     other = small.select("bucket", F.col("member").alias("b"), F.col("root").alias("root_b"))
     met = small.filter("root <> main AND member <> centre").join(other, "bucket")
     return (
@@ -142,7 +142,7 @@ def _small_pairs(unlike: DataFrame) -> DataFrame:
 
 def _block_links(unlike: DataFrame, texts_of: DataFrame, percent: int) -> DataFrame:
     """Confirmed links across components in larger buckets, blocks against blocks."""
-    large = unlike.filter(F.col("size") > BLOCK).select(
+    large = unlike.filter(F.col("size") > PAIRWISE).select(
         "bucket", "member", "root", "main",
         F.ceil(F.col("rest") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"))
     named = large.join(texts_of.withColumnRenamed("doc_id", "member"), "member")
