@@ -5,10 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, lattice_lm, main_text, near_copies, quality_rules, token_counts, toxicity
+from . import byte_bpe, decontaminate, lattice_lm, main_text, near_copies, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_near_copies": near_copies.op6_near_copies,
     "op7_token_counts": token_counts.op7_token_counts,
