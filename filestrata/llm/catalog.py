@@ -5,10 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, lattice_lm, main_text, near_copies, private_data, quality_rules, token_counts, toxicity
+from . import byte_bpe, decontaminate, lattice_lm, licences, main_text, near_copies, private_data, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_licences": licences.op2_licences,
     "op3_surrogates": private_data.op3_surrogates,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,

@@ -222,3 +222,9 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
 def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-copy component of every document."""
     return near_copies(frames.table(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of `docs` whose id is their component's own, and of rows that repeat an id and text one."""
+    dropped = near_copies(docs, percent).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
