@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 BEGIN = "▁"
 
 
@@ -37,28 +38,34 @@ class Lattice:
         for length, found in by_length.items():
             hashes = _hash(_codes([p for p, _ in found], length))[:, -1]
             order = np.argsort(hashes)
-            self.table[length] = hashes[order], np.array([i for _, i in found])[order]
+            # Most runs are no piece; a bit for some bits of the hash tells so without a search.
+            maybe = np.zeros(1 << 20, dtype=bool)
+            maybe[hashes * _SPREAD >> np.uint64(44)] = True
+            self.table[length] = hashes[order], np.array([i for _, i in found])[order], maybe
         self.powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(self.table), _BASE))))
 
-    def _edges(self, codes: np.ndarray):
-        """For each end j, the (start, piece or -1, bytes) of the edges that may end there."""
+    def _edges(self, codes: np.ndarray, log_p: np.ndarray):
+        """For each end j the edges that end there: start, rows, piece of each row, its log probability, bytes or None."""
         prefix = _hash(codes)
         width = np.array([1, 2, 3, 4])[np.searchsorted([0x80, 0x800, 0x10000], codes, side="right")]
         for j in range(1, codes.shape[1] + 1):
             edges = []
-            for length, (hashes, ids) in self.table.items():
-                if length <= j:
-                    key = prefix[:, j] - prefix[:, j - length] * self.powers[length]
-                    at = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
-                    piece = np.where(hashes[at] == key, ids[at], -1)
-                    if length == 1 or (piece >= 0).any():
-                        edges.append((j - length, piece, width[:, j - 1] if length == 1 else None))
+            for length, (hashes, ids, maybe) in self.table.items():
+                if length > j:
+                    continue
+                key = prefix[:, j] - prefix[:, j - length] * self.powers[length]
+                rows = np.flatnonzero(maybe[key * _SPREAD >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(hashes, key[rows]), len(hashes) - 1)
+                same = hashes[at] == key[rows]
+                rows, piece = rows[same], ids[at[same]]
+                if len(rows):
+                    edges.append((j - length, rows, piece, log_p[piece], None))
+                if length == 1 and len(rows) < len(codes):
+                    other = np.delete(np.arange(len(codes)), rows)
+                    n_bytes = width[other, j - 1]
+                    edges.append((j - 1, other, None, n_bytes * log_p[-1], n_bytes))
             yield j, edges
 
-    def _weight(self, log_p: np.ndarray, piece: np.ndarray, n_bytes: np.ndarray | None) -> np.ndarray:
-        missing = -np.inf if n_bytes is None else n_bytes * log_p[-1]
-        return np.where(piece >= 0, log_p[np.maximum(piece, 0)], missing)
-
     def log_probabilities(self, words: list[str], log_p: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The natural log probability of each word, and the pieces expected in `counts` copies of them.
 
@@ -81,22 +88,20 @@ class Lattice:
         ahead = np.full((length + 1, n), -np.inf)
         ahead[0] = 0.0
         steps = []
-        for j, edges in self._edges(codes):
-            weights = [self._weight(log_p, piece, n_bytes) for _, piece, n_bytes in edges]
-            paths = np.stack([ahead[i] + w for (i, _, _), w in zip(edges, weights)])
-            top = paths.max(axis=0)
-            ahead[j] = top + np.log(np.exp(paths - top).sum(axis=0))
+        for j, edges in self._edges(codes, log_p):
+            for i, rows, _, weight, _ in edges:
+                ahead[j, rows] = np.logaddexp(ahead[j, rows], ahead[i, rows] + weight)
             if counts is not None:
-                steps.append((j, edges, weights))
+                steps.append((j, edges))
         if counts is not None:
             back = np.full((length + 1, n), -np.inf)
             back[length] = 0.0
-            for j, edges, weights in reversed(steps):
-                for (i, piece, n_bytes), w in zip(edges, weights):
-                    back[i] = np.logaddexp(back[i], back[j] + w)
-                    share = counts * np.exp(ahead[i] + w + back[j] - ahead[length])
-                    known = piece >= 0
-                    expected += np.bincount(piece[known], share[known], self.size)
-                    if n_bytes is not None:
-                        expected[-1] += share[~known] @ n_bytes[~known]
+            for j, edges in reversed(steps):
+                for i, rows, piece, weight, n_bytes in edges:
+                    back[i, rows] = np.logaddexp(back[i, rows], back[j, rows] + weight)
+                    share = counts[rows] * np.exp(ahead[i, rows] + weight + back[j, rows] - ahead[length, rows])
+                    if piece is None:
+                        expected[-1] += share @ n_bytes
+                    else:
+                        np.add.at(expected, piece, share)
         return ahead[length]

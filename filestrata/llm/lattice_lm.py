@@ -77,8 +77,15 @@ def adapted(counts: DataFrame, pieces: list[str], log_p: np.ndarray, rounds: int
             names, current = shared.value
             lattice = frames.kept(f"lattice {hash(tuple(names))}", lambda: Lattice(names))
             total = np.zeros(lattice.size)
+            words, times = [], []
             for batch in batches:
-                total += lattice.log_probabilities(batch.column("word").to_pylist(), current, batch.column("c").to_numpy().astype(float))[1]
+                words += batch.column("word").to_pylist()
+                times.append(batch.column("c").to_numpy())
+                if len(words) >= 100_000:
+                    total += lattice.log_probabilities(words, current, np.concatenate(times).astype(float))[1]
+                    words, times = [], []
+            if words:
+                total += lattice.log_probabilities(words, current, np.concatenate(times).astype(float))[1]
             met = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([frames.longs(met), pa.array(total[met])], ["piece", "n"])
 
