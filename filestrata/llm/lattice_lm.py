@@ -34,7 +34,7 @@ from .words import Words, mixed
 #: Words that every task may hold the counts of, at most.
 COMMON = 200_000
 ROUNDS = 2
-_SLICE = 12 << 20
+_SLICE = 7 << 20
 
 
 def vocabulary(path: str) -> tuple[list[str], np.ndarray]:

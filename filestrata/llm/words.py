@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 _PLACES = 4096
+_RUN = 100_000
 _RANDOM = np.random.default_rng(20240229)
 _MULTIPLIERS = _RANDOM.integers(1, 2**63, _PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,17 +49,21 @@ class Words:
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         self.offset = np.concatenate(([0], np.cumsum(sizes)))
         self.first = np.searchsorted(self.begin, self.offset)
-        lengths = self.end - self.begin
-        if not len(lengths):
-            self.hashes = np.zeros(0, dtype=np.uint64)
-            return
+        table = _LOWER if lower else _SAME
+        runs = range(0, len(self.begin), _RUN)
+        self.hashes = np.concatenate([self._hashed(codes, inside, table, i, i + _RUN) for i in runs] or [np.zeros(0, dtype=np.uint64)])
+
+    def _hashed(self, codes: np.ndarray, inside: np.ndarray, table: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """The hashes of some words, so that wide numbers are held for a few bytes at a time."""
+        lengths = self.end[start:stop] - self.begin[start:stop]
+        part = slice(self.begin[start], self.end[start:stop][-1])
         at = np.cumsum(lengths) - lengths
         place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(at, lengths)
         factor = _MULTIPLIERS[place & (_PLACES - 1)]
         if lengths.max() > _PLACES:
             factor = factor * (2 * (place // _PLACES) + 1).astype(np.uint64)
-        letters = (_LOWER if lower else _SAME)[codes[inside]]
-        self.hashes = mixed(np.add.reduceat(factor * (letters.astype(np.uint64) + np.uint64(1)), at))
+        letters = table[codes[part][inside[part]]].astype(np.uint64)
+        return mixed(np.add.reduceat(factor * (letters + np.uint64(1)), at))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
