@@ -152,12 +152,9 @@ _add(
 
 
 def _lookup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many runs of each text the dictionary replaces, from the substituted payload."""
+    """How many runs of each text the dictionary replaces; marks in the text itself are no lookups."""
     runs = text.tokens(F.col("content"))
-    swapped = text.tokens(F.regexp_replace("payload", "§[0-9]+", "§"))
-    return _substituted(spark, sf_dir).select(
-        *KEY, (F.octet_length(F.regexp_replace("payload", "[^§]+", "")) / 2).cast("long").alias("n_replaced"),
-        F.size(runs).cast("long").alias("n_runs"))
+    return _substituted(spark, sf_dir).select(*KEY, "n_replaced", F.size(runs).cast("long").alias("n_runs"))
 
 
 _add(

@@ -23,6 +23,7 @@ WITH stored AS (
       WHEN 4 THEN chr(10) || '// copyright notice placed late' || chr(10)
       WHEN 5 THEN chr(10) || ' ' || chr(9) || ' ' || chr(10) || chr(9) || chr(10) || 'word' || chr(160)
         || 'word' || chr(12288) || 'x' || chr(11) || 'vt' || chr(8232) || 'ls' || chr(10)
+        || 'plain § mark, §9 and §12345' || chr(10)
       ELSE chr(10) || 'import os' || chr(10) || 'class Model: config argparse tkinter' || chr(10)
     END AS raw_text
   FROM documents

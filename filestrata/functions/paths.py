@@ -81,8 +81,8 @@ def is_listed(path: Column) -> Column:
 
 
 def _one_of(value: Column, words: list[str]) -> Column:
-    """Membership in a constant array, which the optimizer folds from one literal."""
-    return F.array_contains(F.split(F.lit(" ".join(words)), " "), value)
+    """Membership in constants, which the optimizer turns into a hash set."""
+    return value.isin(words)
 
 
 def is_text(path: Column) -> Column:

@@ -71,19 +71,20 @@ def _token_of(word: Column) -> Column:
 
 
 def substitute(texts: DataFrame, dictionary: DataFrame, spread_by: list[str] = ("path",)) -> DataFrame:
-    """Replace whole words by tokens; adds ``payload`` and the ``tokens_used`` of each text.
+    """Replace whole words by tokens; adds ``payload``, ``tokens_used`` and the ``n_replaced`` runs.
 
     The dictionary holds a bounded number of words per project; the texts of a large project
     meet it in many tasks.
     """
     runs = text.tokens(F.col("content"))
-    swapped = F.transform(runs, lambda run: F.coalesce(_token_of(run), run))
-    used = F.array_sort(F.filter(
-        F.transform(F.array_distinct(runs), _token_of), lambda token: token.isNotNull()))
+    tokens = F.transform(runs, _token_of)
+    met = F.filter("_tokens", lambda token: token.isNotNull())
+    swapped = F.zip_with("_tokens", runs, lambda token, run: F.coalesce(token, run))
     joined = lookup_join(texts, frozen(_shelves(dictionary)), ["project_id"],
                          ["project_id", *spread_by])
     known = F.col("_shelves").isNotNull()
-    return joined.withColumns({
+    return joined.withColumn("_tokens", tokens).withColumns({
         "payload": F.when(known, F.array_join(swapped, "")).otherwise(F.col("content")),
-        "tokens_used": F.when(known, used).otherwise(F.array().cast("array<string>")),
-    }).drop("_shelves")
+        "tokens_used": F.when(known, F.array_sort(F.array_distinct(met))).otherwise(F.array().cast("array<string>")),
+        "n_replaced": F.when(known, F.size(met)).otherwise(0).cast("long"),
+    }).drop("_shelves", "_tokens")

@@ -23,7 +23,7 @@ class CapsuleOptions:
     dictionary_size: int = 256
     sample_chars: int | None = None  # text per file that feeds the dictionary; None reads it all
     codec: str = "zstd_b64"
-    max_file_size: int = fixed.CAPSULE_LIMIT
+    max_file_size: int | None = None  # larger files leave the capsule; None keeps all
     include_binary: bool = False
     summary_lines: int = 3
     outline_items: int = 10
@@ -43,7 +43,8 @@ def included_files(files: DataFrame, options: CapsuleOptions) -> DataFrame:
     textual = paths.is_capsule_text(path)
     kept = files.filter(
         paths.glob_selected(path, list(options.include), list(options.exclude))
-        & data.isNotNull() & (F.col("size_bytes") <= options.max_file_size)
+        & data.isNotNull()
+        & (F.lit(True) if options.max_file_size is None else F.col("size_bytes") <= options.max_file_size)
         & (F.lit(options.include_binary) | textual))
     return kept.select(
         *KEY, "size_bytes", "content_bytes",

@@ -54,4 +54,4 @@ def corpus_document(analysis: DataFrame, size: int = 256) -> tuple[DataFrame, Da
     """
     segments = frozen(corpus_segments(analysis))
     dictionary = frozen(words.token_dictionary(segments, size, fixed.CORPUS_WORD, ORDER))
-    return dictionary, words.substitute(segments, dictionary).drop("tokens_used")
+    return dictionary, words.substitute(segments, dictionary).drop("tokens_used", "n_replaced")

@@ -3,29 +3,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import fixed, paths, text
+from ..functions import paths, text
 from ..schemas import FILES
 
 
 def files_table(raw: DataFrame) -> DataFrame:
     """The row contract of every job, from (project_id, path, mtime, raw_text).
 
-    ``content`` has unified newlines; it is NULL for names that are not text and '' for files
-    that are too large to read or blank. ``content_bytes`` keeps the bytes as stored.
+    ``content`` has unified newlines; it is NULL for names that are not text and '' for blank
+    files, whole at any size. ``content_bytes`` keeps the bytes as stored. Size tiers are a
+    filter of their own, ``selection.size_tiers``.
     """
     stored, path = F.col("raw_text"), F.col("path")
     size = F.octet_length(stored).cast("long")
     readable = paths.is_text(path)
-    large = size > fixed.READ_LIMIT
     unified = text.unify_newlines(stored)
-    counted = readable & ~large
-    rows = raw.filter(size <= fixed.DROP_ABOVE).select(
+    rows = raw.select(
         "project_id", "path", size.alias("size_bytes"), F.col("mtime"),
-        F.when(readable, F.when(large | text.is_blank(stored), "").otherwise(unified)).alias("content"),
+        F.when(readable, F.when(text.is_blank(stored), "").otherwise(unified)).alias("content"),
         F.encode(stored, "UTF-8").alias("content_bytes"),
-        F.when(counted, text.line_count(unified)).alias("lines"),
-        F.when(counted, text.word_count(unified)).alias("words"),
-        F.when(~readable, "not_text").when(large, "large").otherwise("ok").alias("read_status"),
+        F.when(readable, text.line_count(unified)).alias("lines"),
+        F.when(readable, text.word_count(unified)).alias("words"),
+        F.when(~readable, "not_text").otherwise("ok").alias("read_status"),
     )
     return rows.select(*FILES.names)
 
@@ -49,7 +48,7 @@ DOCUMENT_TAILS = [
     "\r\n# Heading One\r\n## Second ##\r\nplain\rlone",
     "\n\"key_a\": 1\n'mode' = 2\n\"key_a\": 3\n",
     "\n// copyright notice placed late\n",
-    "\n \t \n\t\nword" + chr(0xA0) + "word" + chr(0x3000) + "x" + chr(0x0B) + "vt" + chr(0x2028) + "ls\n",
+    "\n \t \n\t\nword" + chr(0xA0) + "word" + chr(0x3000) + "x" + chr(0x0B) + "vt" + chr(0x2028) + "ls\nplain § mark, §9 and §12345\n",
     "\nimport os\nclass Model: config argparse tkinter\n",
 ]
 

@@ -2,6 +2,8 @@
 
 Options: ``path`` (one project root), or ``roots`` (comma-separated ``project_id=root`` pairs);
 ``bytes`` = true adds the raw bytes; ``splits`` is how many directories to aim for per read.
+``read_limit`` and ``drop_above`` are sizes in bytes beyond which text is not read, or a file is left
+out; neither is set by default. A root that cannot be read is an error.
 The plain binary reader is no base for this: it drops names that start with ``_``.
 """
 from __future__ import annotations
@@ -56,11 +58,11 @@ def _entries(folder: str) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
     return sorted(dirs, key=lambda e: e.name), sorted(files, key=lambda e: e.name)
 
 
-def _text_of(file_path: str, size: int, name: str) -> tuple:
+def _text_of(file_path: str, size: int, name: str, read_limit: int | None) -> tuple:
     """(content, lines, words, status), reading only text of a readable size."""
     if not _textual(name):
         return None, None, None, "not_text"
-    if size > fixed.READ_LIMIT:
+    if read_limit is not None and size > read_limit:
         return "", None, None, "large"
     try:
         with open(file_path, encoding="utf-8", errors="ignore") as handle:
@@ -91,9 +93,13 @@ class FileTreeReader(DataSourceReader):
             self.roots = {os.path.basename(os.path.abspath(root)): root}
         self.with_bytes = options.get("bytes", "false").lower() == "true"
         self.splits = int(options.get("splits", "256"))
+        self.read_limit, self.drop_above = (
+            int(options[name]) if name in options else None for name in ("read_limit", "drop_above"))
 
     def partitions(self) -> list[InputPartition]:
         """Open directories level by level until there are enough to spread one large project."""
+        for root in self.roots.values():
+            os.scandir(root).close()  # an unreadable root is an error, not an empty project
         shallow: list[Folder] = []
         level = [Folder(project, root, root, True) for project, root in self.roots.items()]
         while level and len(level) + len(shallow) < self.splits:
@@ -118,9 +124,9 @@ class FileTreeReader(DataSourceReader):
             stat = entry.stat(follow_symlinks=False)
         except OSError:
             return None
-        if stat.st_size > fixed.DROP_ABOVE:
+        if self.drop_above is not None and stat.st_size > self.drop_above:
             return None
-        content, lines, words, status = _text_of(entry.path, stat.st_size, entry.name)
+        content, lines, words, status = _text_of(entry.path, stat.st_size, entry.name, self.read_limit)
         data = _bytes_of(entry.path) if self.with_bytes else None
         return (partition.project_id, os.path.relpath(entry.path, partition.root).replace(os.sep, "/"),
                 stat.st_size, datetime.fromtimestamp(int(stat.st_mtime)), content, data, lines, words, status)

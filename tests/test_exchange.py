@@ -41,11 +41,33 @@ def test_tree_size_tiers(spark, tmp_path):
     (tmp_path / "two").mkdir()
     (tmp_path / "two" / "x.py").write_text("1")
     roots = f"one={tmp_path},two={tmp_path / 'two'}"
-    rows = {(r["project_id"], r["path"]): r for r in tree.read_tree(spark, roots=roots).collect()}
+    limits = {"read_limit": str(fixed.READ_LIMIT), "drop_above": str(fixed.DROP_ABOVE)}
+    rows = {(r["project_id"], r["path"]): r for r in tree.read_tree(spark, roots=roots, **limits).collect()}
     assert set(rows) == {("one", "large.txt"), ("one", "two/x.py"), ("two", "x.py")}
     assert rows[("one", "large.txt")]["read_status"] == "large" and rows[("one", "large.txt")]["content"] == ""
 
 
+def test_tree_reads_large_text_whole_unless_told(spark, tmp_path):
+    (tmp_path / "large.py").write_text("def f():\n    return 1\n" + "# TODO x\n" * (fixed.READ_LIMIT // 9 + 9))
+    row = tree.read_tree(spark, path=str(tmp_path)).first()
+    assert row["read_status"] == "ok" and len(row["content"]) == row["size_bytes"] > fixed.READ_LIMIT
+
+
+def test_unreadable_root_is_an_error(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(Exception):
+        tree.read_tree(spark, path=str(tmp_path / "none")).collect()
+
+
+def test_large_source_keeps_its_symbols(spark, make_files):
+    from filestrata.sources.pyfacts import python_facts
+
+    source = "def f():\n    return 1\n" + "# TODO x\n" * (fixed.READ_LIMIT // 9 + 9)
+    row = python_facts(make_files({"p": {"large.py": source}})).first()
+    assert row["todo_count"] > 0 and len(row["facts"]["functions"]) == 1
+
+
 def _dumps(spark, *texts):
     return spark.createDataFrame([(i, name, t) for i, (name, t) in enumerate(texts)], "dump_id long, file_name string, text string")
 
