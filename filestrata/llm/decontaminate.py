@@ -136,6 +136,10 @@ class Item:
 
     def found(self, words: np.ndarray) -> float:
         """The share of the item that is in the words if that makes a leak, else 0."""
+        # No subsequence is longer than the number of the item's words that are there at all.
+        there = set(words.tolist())
+        if sum(map(there.__contains__, self.words.tolist())) < SIMILARITY * len(self.words):
+            return 0.0
         common = common_subsequence(self.words, words)
         share = common / len(self.words)
         if len(self.words) < 5 or share >= NEARLY_ALL:
