@@ -7,7 +7,8 @@ get equal surrogates in all documents, and is then written in the spelling of ea
 the title or the first occurrence shows, and their script.
 
 The distinct entities, not the texts, are checked: if two have the same surrogate, or a surrogate is itself an entity, all
-but one draw again, until none collide. Only texts with entities are shuffled, to meet their replacements.
+but one draw again, until none collide. Texts that a few cheap patterns show to have no entity are neither searched further nor
+shuffled; the others meet their replacements by a join.
 A null text stays null and has no entities. Rows come back as often as they went in; only DataFrame functions are used.
 """
 from __future__ import annotations
@@ -25,16 +26,35 @@ DRAWS = 40
 # Titles before names, by gender.
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Signor|Господин|г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Госпожа|г-жа"
+_TITLES = f"{MALE}|{FEMALE}"
 _NAME = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
+# A run of letters is walked once, not again from each of its letters; a domain has at most 127 labels.
+_LOCAL = r"[A-Za-z0-9._%+\-]"
 PATTERNS = {
-    "mail": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "mail": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+){{0,125}}\.[A-Za-z]{{2,}}",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)",
     "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{2,4})[ .\-]?\d{2,4}[ .\-]?\d{3,4}(?!\d)",
-    "secret": r"(?<![\p{L}\d])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,128}(?![\p{L}\d])",
+    "secret": r"(?<![\p{L}\d])(?=[0-9A-Fa-f]{32})(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,128}(?![\p{L}\d])",
     "number": r"(?<![\p{L}\d])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{13,19})(?![\p{L}\d])",
-    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? {_NAME}",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Single characters, not ranges, in a class are looked up in a table.
+_DIGITS, _HEX = "0123456789", "0123456789abcdefABCDEF"
+
+
+def _title_signs() -> list[str]:
+    """One pattern for the titles that begin with an ASCII letter, and one for each other first letter."""
+    tails: dict[str, dict[str, None]] = {}
+    for title in _TITLES.split("|"):
+        tails.setdefault("[{}]" if title[0].isascii() else title[0], {})[title] = None
+    return [rf"{head.format(''.join(sorted({t[0] for t in titles})))}(?:{'|'.join(t[1:] for t in titles)})\.? \p{{Lu}}" for head, titles in tails.items()]
+
+
+#: Each entity holds a match of one of these, which begin with few characters and so pass over most of a text quickly.
+SIGNS = [
+    rf"[@+{_DIGITS}](?:(?<=@)[A-Za-z0-9\-]|(?<=\+)\d|(?<=\d)[{_DIGITS}. \-]{{6}})", f"[{_HEX}][{_HEX}]{{31}}", *_title_signs(),
+]
 _SYLLABLES = "array('ba','den','fi','gor','hal','ke','lun','mar','ned','ol','per','rin','sa','tov','ul','ves','wil','ya','zen','cor')"
 _CYRILLIC = "array('ба','ден','фи','гор','хал','ке','лун','мар','нед','ол','пер','рин','са','тов','ул','вес','вил','я','зен','кор')"
 
@@ -45,11 +65,19 @@ def _type(entity: str) -> str:
             "WHEN {0} RLIKE '^[0-9 -]+$' THEN 'number' WHEN {0} RLIKE '^[0-9A-Fa-f]+$' THEN 'secret' ELSE 'name' END").format(entity)
 
 
+def _signs() -> Column:
+    """Whether `text` may have an entity; false only if it has none, or is null."""
+    found = F.lit(False)
+    for sign in SIGNS:
+        found = found | F.col("text").rlike(sign)
+    return F.coalesce(found, F.lit(False))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """`doc_id, mark, place, found, type, title` and the `name` words of each match; mark is a hash of the text."""
-    listed = docs.filter(F.col("text").rlike(ANY)).select(
+    """`doc_id, mark, place, found, type, title` of each match; mark is a hash of the text."""
+    listed = docs.filter(_signs()).select(
         "doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("place", "found"))
-    title = F.regexp_extract("found", rf"^(?:{MALE}|{FEMALE})\.? ", 0)
+    title = F.regexp_extract("found", rf"^(?:{_TITLES})\.? ", 0)
     typed = listed.withColumn("type", F.expr(_type("found")))
     return typed.withColumn("title", F.when(F.col("type") == "name", title).otherwise(""))
 
@@ -57,14 +85,13 @@ def entities(docs: DataFrame) -> DataFrame:
 def _forms(found: DataFrame) -> DataFrame:
     """One row per part that is replaced: names in their words, all else as a whole; with its kind and canonical form."""
     rest = F.expr("substring(found, length(title) + 1)")
-    parts = found.withColumn("part", rest)
+    is_name = F.col("type") == "name"
+    parts = found.withColumn("words", F.when(is_name, F.split(rest, " ")).otherwise(F.array(rest)))
     gender = F.when(F.col("title").rlike(rf"^(?:{MALE})\.? $"), "male").otherwise("female")
-    words = F.split("part", " ")
-    named = parts.filter("type = 'name'").select("*", F.posexplode(words).alias("word", "spelled"), F.size(words).alias("n_words")).withColumn(
-        "kind", F.when((F.col("word") == 0) & (F.col("n_words") > 1), gender).otherwise("family"))
-    other = parts.filter("type <> 'name'").select("*", F.lit(0).alias("word"), F.col("part").alias("spelled"), F.lit(1).alias("n_words"), F.col("type").alias("kind"))
+    spelled = parts.select("doc_id", "mark", "place", "type", "title", F.size("words").alias("n_words"), F.posexplode("words").alias("word", "spelled"))
+    kind = F.when(~is_name, F.col("type")).when((F.col("word") == 0) & (F.col("n_words") > 1), gender).otherwise("family")
     canonical = F.when(F.col("kind").isin("phone", "number"), F.regexp_replace("spelled", r"\D", "")).otherwise(F.lower("spelled"))
-    return named.unionByName(other).withColumn("canonical", canonical)
+    return spelled.withColumn("kind", kind).withColumn("canonical", canonical)
 
 
 def _drawn(key: str) -> Column:
@@ -126,20 +153,21 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     forms = frozen(_forms(entities(docs.select("doc_id", "text"))))
     known = surrogates(forms, key)
     spelled = lookup_join(forms, known, ["kind", "canonical"], ["doc_id", "mark"]).withColumn("out", _respelled())
-    # The list of a text's replacements is no longer than the text. Equal rows give equal lists, hence sets.
-    parts = F.sort_array(F.collect_set(F.struct("place", "word", "title", "out")))
-    by_text = spelled.groupBy("doc_id", "mark").agg(parts.alias("_parts"))
-    has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    # A name's title is written once, before its first word.
-    joined_names = "concat(filter(_parts, p -> p.place = i)[0].title, array_join(transform(filter(_parts, p -> p.place = i), p -> p.out), ' '))"
-    text = F.expr(f"concat(_gaps[0], array_join(transform(sequence(0, size(_gaps) - 2), i -> concat({joined_names}, _gaps[i + 1])), ''))")
-    names = docs.columns
-    keyed = docs.filter(has).withColumn("_mark", F.xxhash64("text"))
+    # A name's title is written once, before its first word. Equal rows of a table give equal parts, hence sets.
+    words = F.sort_array(F.collect_set(F.struct("word", "out")))
+    whole = F.concat(F.first("title"), F.array_join(F.transform(words, lambda w: w["out"]), " ")).alias("out")
+    by_place = spelled.groupBy("doc_id", "mark", "place").agg(whole)
+    # The list of a text's replacements is no longer than the text.
+    by_text = by_place.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("place", "out"))).alias("_parts"))
+    signs, names = _signs(), docs.columns
+    keyed = docs.filter(signs).withColumn("_mark", F.xxhash64("text"))
     met = keyed.join(by_text.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark2"), "_parts"),
-                     keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_mark"] == F.col("_mark2")))
-    replaced = met.withColumn("_gaps", F.split("text", ANY, -1)).withColumn("text", text).withColumn(
-        "n_entities", (F.size("_gaps") - 1).cast("long"))
-    return docs.filter(~has).withColumn("n_entities", F.lit(0).cast("long")).unionByName(replaced.select(*names, "n_entities"))
+                     keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_mark"] == F.col("_mark2")), "left")
+    gaps = F.split("text", ANY, -1)
+    after = F.zip_with("_parts", F.slice(gaps, F.lit(2), F.size("_parts")), lambda part, gap: F.concat(part["out"], gap))
+    text = F.when(F.col("_parts").isNull(), F.col("text")).otherwise(F.concat(gaps[0], F.array_join(after, "")))
+    replaced = met.withColumn("text", text).withColumn("n_entities", F.coalesce(F.array_size("_parts"), F.lit(0)).cast("long"))
+    return docs.filter(~signs).withColumn("n_entities", F.lit(0).cast("long")).unionByName(replaced.select(*names, "n_entities"))
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
