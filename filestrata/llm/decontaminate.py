@@ -36,6 +36,14 @@ COSINE, SIMILARITY, NEARLY_ALL, ANSWER = 0.5, 0.75, 0.9, 0.5
 ITEMS = 20_000
 _STEP = 8
 _SLICE = 1 << 20
+#: Cells of the table that bounds an item's words in a window, as a power of two, and places that are looked up at a time.
+_CELLS, _EXPANDED = 23, 4_000_000
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _cells(item: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The cell of each pair of an item's place and a term."""
+    return (item.astype(np.uint64) << np.uint64(15) | terms.astype(np.uint64)) * _SPREAD >> np.uint64(64 - _CELLS)
 
 
 def _words(texts: list[str]) -> Words:
@@ -136,7 +144,7 @@ class Item:
 
     def found(self, words: np.ndarray) -> float:
         """The share of the item that is in the words if that makes a leak, else 0."""
-        # No subsequence is longer than the number of the item's words that are there at all.
+        # As the index's bound, but for words in place of terms.
         there = set(words.tolist())
         if sum(map(there.__contains__, self.words.tolist())) < SIMILARITY * len(self.words):
             return 0.0
@@ -172,11 +180,16 @@ def length_class(n: int) -> int:
 
 @dataclass(frozen=True)
 class Index:
-    """Latent vectors of terms, already weighted, and the items with their unit vectors by length class."""
+    """Latent vectors of terms, already weighted, and the items with their unit vectors by length class.
+
+    `classes` have the window's size, the items' first place, the items and their vectors. `weights` has in the
+    cell of an item and a term how many of the item's words have the term; pairs that share a cell are added up.
+    """
 
     terms: np.ndarray
     used: np.ndarray
-    classes: list[tuple[int, list[Item], np.ndarray]]
+    weights: np.ndarray
+    classes: list[tuple[int, int, list[Item], np.ndarray]]
 
     @staticmethod
     def of(items: list[Item], idf: np.ndarray, space: np.ndarray) -> "Index":
@@ -186,11 +199,32 @@ class Index:
         for item in items:
             used[_terms(item.words)] = True
             by_class.setdefault(length_class(len(item.words)), []).append(item)
-        classes = []
+        classes, weights, place = [], np.zeros(1 << _CELLS, dtype=np.int32), 0
         for size, members in sorted(by_class.items()):
             vectors = np.stack([terms[_terms(item.words)].sum(axis=0) for item in members])
-            classes.append((size, members, vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))))
-        return Index(terms, used, classes)
+            classes.append((size, place, members, vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))))
+            for item in members:
+                np.add.at(weights, _cells(np.full(len(item.words), place), _terms(item.words)), 1)
+                place += 1
+        return Index(terms, used, weights, classes)
+
+    def _at_most(self, item: np.ndarray, terms: np.ndarray, before: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """For each pair of an item and a run of `terms`, no fewer than the item's words that are in the run.
+
+        `before` is where the same term was met last; a term counts where the run has it first.
+        """
+        out = np.zeros(len(item), dtype=np.int64)
+        cuts = np.searchsorted(np.cumsum(stop - start), np.arange(_EXPANDED, int((stop - start).sum()) + _EXPANDED, _EXPANDED)) + 1
+        a = 0
+        for b in cuts.tolist():
+            length = (stop - start)[a:b]
+            ends = np.cumsum(length)
+            pair = np.repeat(np.arange(a, a + len(length)), length)
+            places = np.arange(len(pair)) - np.repeat(ends - length, length) + start[pair]
+            pair, places = (v[before[places] < start[pair]] for v in (pair, places))
+            out[a:b] = np.bincount(pair - a, self.weights[_cells(item[pair], terms[places])], len(length))
+            a = b
+        return out
 
     def leaks(self, words: Words, n: int) -> list[dict[int, float]]:
         """Per text the items that it holds, with the share found."""
@@ -205,29 +239,39 @@ class Index:
         begin = words.first[text_of] + _STEP * (np.arange(n_steps) - first_step[text_of])
         terms = _terms(words.hashes)
         at = np.flatnonzero(self.used[terms])
+        met = terms[at]
         summed = np.zeros((n_steps + 1, self.terms.shape[1]))
-        if len(at):
-            step = np.searchsorted(begin, at, side="right") - 1
-            starts = np.flatnonzero(np.diff(step, prepend=-1))
-            summed[step[starts] + 1] = np.add.reduceat(self.terms[terms[at]], starts, axis=0)
+        step = np.searchsorted(begin, at, side="right") - 1
+        for i in range(_STEP):
+            # One word of each step at most.
+            rows = np.flatnonzero(at - begin[step] == i)
+            summed[step[rows] + 1] += self.terms[met[rows]]
         summed = np.cumsum(summed, axis=0)
+        order = np.argsort(met, kind="stable")
+        before = np.full(len(at), -1)
+        before[order[1:]] = np.where(met[order[1:]] == met[order[:-1]], order[:-1], -1)
         in_text = np.arange(n_steps) - first_step[text_of]
-        for size, members, vectors in self.classes:
+        for size, place, members, vectors in self.classes:
             stride = max(1, size // 2 // _STEP)
             width = size // _STEP + stride
             starts = np.flatnonzero(in_text % stride == 0)
             ends = np.minimum(starts + width, (first_step + steps)[text_of[starts]])
             x = (summed[ends] - summed[starts]).astype(np.float32)
             norms = np.maximum(1e-9, np.linalg.norm(x, axis=1))
+            lows = np.maximum(words.first[text_of[starts]], begin[starts] - size // 4)
+            highs = np.minimum(words.first[text_of[starts] + 1], begin[starts] + width * _STEP + size // 4)
+            first_met, last_met = np.searchsorted(at, lows), np.searchsorted(at, highs)
+            least = np.array([SIMILARITY * len(item.words) for item in members])
             for a in range(0, len(members), 512):
                 window, item = np.nonzero(x @ vectors[a:a + 512].T.astype(np.float32) >= COSINE * norms[:, None])
-                for w, i in zip(window.tolist(), item.tolist()):
-                    text, candidate = int(text_of[starts[w]]), members[a + i]
+                item += a
+                # No subsequence is longer than the number of the item's words that are there at all.
+                enough = self._at_most(place + item, met, before, first_met[window], last_met[window]) >= least[item]
+                for w, i in zip(window[enough].tolist(), item[enough].tolist()):
+                    text, candidate = int(text_of[starts[w]]), members[i]
                     if candidate.id in found[text] and found[text][candidate.id] >= 1:
                         continue
-                    low = max(words.first[text], begin[starts[w]] - size // 4)
-                    high = min(words.first[text + 1], begin[starts[w]] + width * _STEP + size // 4)
-                    share = candidate.found(words.hashes[low:high])
+                    share = candidate.found(words.hashes[lows[w]:highs[w]])
                     if share:
                         found[text][candidate.id] = max(share, found[text].get(candidate.id, 0.0))
         return found
