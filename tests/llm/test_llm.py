@@ -264,6 +264,31 @@ def test_common_subsequence_and_classes():
     assert [decontaminate.length_class(n) for n in (1, 16, 17, 25, 33, 49, 65)] == [16, 16, 24, 32, 48, 64, 96]
 
 
+@pytest.mark.parametrize("expanded", [7, 4_000_000])
+@pytest.mark.parametrize("cells", [6, 23])
+def test_bound_on_an_items_words_is_never_too_low(monkeypatch, cells, expanded):
+    monkeypatch.setattr(decontaminate, "_CELLS", cells)
+    monkeypatch.setattr(decontaminate, "_EXPANDED", expanded)
+    draw = np.random.default_rng(5)
+    items = [decontaminate.Item(i, draw.integers(0, 40, n).astype(np.uint64) << decontaminate._SHIFT, np.zeros(0, dtype=np.uint64))
+             for i, n in enumerate((3, 12, 20, 30, 40))]
+    index = decontaminate.Index.of(items, np.ones(decontaminate.BUCKETS), draw.standard_normal((decontaminate.BUCKETS, 4)))
+    in_order = [item for _, _, members, _ in index.classes for item in members]
+    terms = draw.integers(0, 60, 200)
+    last, before = {}, []
+    for i, term in enumerate(terms.tolist()):
+        before.append(last.get(term, -1))
+        last[term] = i
+    item, start = draw.integers(0, len(items), 300), draw.integers(0, 200, 300)
+    stop = np.minimum(200, start + draw.integers(0, 30, 300))
+    bound = index._at_most(item, terms, np.array(before), start, stop)
+    for k, (i, a, b) in enumerate(zip(item.tolist(), start.tolist(), stop.tolist())):
+        there = set(terms[a:b].tolist())
+        want = sum(x in there for x in decontaminate._terms(in_order[i].words).tolist())
+        assert bound[k] == want if cells == 23 else bound[k] >= want
+    assert not len(index._at_most(item[:0], terms, np.array(before), start[:0], stop[:0]))
+
+
 def test_surrogates(spark, odd, empty):
     text = "Mr. John Smith met Mrs. Anna Smith at +1 (017) 555-7713 or +1 017 555 7713, 4785380592391139; A.B@X.COM a.b@x.com 152.143.123.131."
     docs = spark.createDataFrame([(i, text, 7) for i in range(3)] + [(9, "nothing here", 7)], "doc_id long, text string, mark long")
