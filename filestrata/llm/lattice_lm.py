@@ -138,7 +138,7 @@ def lm_scores(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS
             log_word, _ = lattice.log_probabilities([_lowered(words, i) for i in first], current)
             at = np.minimum(np.searchsorted(hashes, distinct_hashes), len(hashes) - 1)
             c = np.where(hashes[at] == distinct_hashes, count_of[at], -1)
-            with_count = np.log10(np.maximum(c - discount, 0) * of_count + of_lattice * np.exp(log_word))
+            with_count = np.log10(np.maximum(c - discount, 1 - discount) * of_count + of_lattice * np.exp(log_word))
             sums = np.stack([np.where(c >= 0, with_count, 0)[place], np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0)[place], (c > 0)[place]])
             sums = np.concatenate((np.zeros((3, 1)), np.cumsum(sums, axis=1)), axis=1)
             score, base, n_known = np.diff(sums[:, words.first], axis=1)
@@ -163,11 +163,14 @@ def lm_scores(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS
     # the logarithm of its lattice as its score.
     joined = found.join(counts.select("hash", "c"), "hash", "left")
     count = F.when(F.col("times") > 0, F.coalesce("c", F.lit(0))).otherwise(0)
+    # A word without a count has its lattice alone and stays a logarithm, as long words' probabilities are below any double.
+    from_lattice = (F.col("score") + math.log(of_lattice)) / math.log(10)
+    of_word = F.when(count > 0, F.log10((count - discount) * of_count + of_lattice * F.exp("score"))).otherwise(from_lattice)
     summed = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(count > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("times") * F.log10(count + 1.0)).alias("base"), F.sum(F.when(F.col("times") > 0, F.col("times") * F.log10(
-            F.greatest(count - discount, F.lit(0.0)) * of_count + of_lattice * F.exp("score"))).otherwise(F.col("score"))).alias("score"))
+        F.sum(F.col("base") + F.col("times") * F.log10(count + 1.0)).alias("base"),
+        F.sum(F.when(F.col("times") > 0, F.col("times") * of_word).otherwise(F.col("score"))).alias("score"))
     return summed.select(
         "doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"), "score")

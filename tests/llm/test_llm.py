@@ -212,6 +212,34 @@ def test_lm_base_scores(spark, odd, empty):
     assert lattice_lm.lm_scores(empty, F.lit(True), path).count() == 0
 
 
+def test_lm_scores_words_below_any_double(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, log_p = lattice_lm.vocabulary(path)
+    at, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
+
+    def by_hand(word):
+        ahead = [0.0]
+        for j in range(1, len(word) + 1):
+            runs = [(i, at[word[i:j]]) for i in range(max(0, j - longest), j) if word[i:j] in at]
+            edges = [ahead[i] + log_p[piece] for i, piece in runs]
+            if word[j - 1] not in at:
+                edges.append(ahead[j - 1] + len(word[j - 1].encode()) * log_p[-1])
+            ahead.append(np.logaddexp.reduce(edges))
+        return ahead[-1]
+
+    draw = random.Random(8)
+    unseen = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=1000)), "".join(chr(0x4E00 + draw.randrange(20_000)) for _ in range(100)), "short"]
+    train = ["alpha beta beta gamma", "alpha delta"]
+    docs = spark.createDataFrame(list(enumerate(unseen + [" ".join(unseen * 2)] + train)), "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in lattice_lm.lm_scores(docs, F.col("doc_id") >= 4, path, rounds=0).collect()}
+    # Six words of four kinds, two of them once and two of them twice; two ends.
+    p_end, discount = 3 / 10, 3 / 8
+    words = [(by_hand("▁" + w) + math.log((1 - p_end) / 6 * discount * 4)) / math.log(10) for w in unseen]
+    assert min(words) < -400
+    for i, want in enumerate([*words, 2 * sum(words)]):
+        assert scores[i] == pytest.approx(want + math.log10(p_end))
+
+
 def test_main_text_of_given_and_odd_pages(spark):
     rows = {r["page_id"]: r["text"] for r in main_text.op9_main_text(spark, SF).collect()}
     exact = 0
