@@ -8,9 +8,12 @@ rank only.
 
 Every document is covered by overlapping windows, one size for each class of item lengths, such that a passage
 of an item's length lies whole in one of them. Windows whose latent cosine with an item reaches `COSINE` are
-candidates. A candidate is a leak if the longest common subsequence has at least `SIMILARITY` of the item's words
+candidates. The space has fewer directions than a large benchmark has items, and a short item is little of its window, so
+windows with at least `HITS` of an item's rarest words are candidates too, whatever their cosine. Those words are as many as
+a leak may lack and `HITS` more, so no leak has fewer of them. A candidate is a leak if the longest common subsequence has at least `SIMILARITY` of the item's words
 and the item's answer (a column `answer`, or else its last sentence) is found to at least a half, or if nearly
-all of the item is there. Items of fewer than five words must be there whole.
+all of the item is there. Items of fewer than five words must be there whole. Items of fewer than `SHORT` words that only
+their rarest words led to must be found in a run of about their length, as a window holds many short subsequences by chance.
 
 Items are taken in blocks of `ITEMS`, one pass over the documents for each, so that what tasks hold is bounded. Null and empty
 documents are clean; null and empty items match nothing. Rows of documents come back as often as they went in, if
@@ -18,6 +21,7 @@ the benchmark is one block, and else once for each id.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +38,7 @@ BUCKETS, RANK, EXTRA = 1 << 15, 64, 8
 _SHIFT = np.uint64(64 - 15)
 COSINE, SIMILARITY, NEARLY_ALL, ANSWER = 0.5, 0.75, 0.9, 0.5
 ITEMS = 20_000
+HITS, SHORT = 2, 12
 _STEP = 8
 _SLICE = 1 << 20
 #: Cells of the table that bounds an item's words in a window, as a power of two, and places that are looked up at a time.
@@ -156,6 +161,63 @@ class Item:
             return 0.0
         return share
 
+    def found_near(self, words: np.ndarray) -> float:
+        """As `found`, but a short item must be in a run of at most a quarter more than its words."""
+        n = len(self.words)
+        if n >= SHORT:
+            return self.found(words)
+        span = n if n < 5 else n + n // 4
+        return max(self.found(words[i:i + span]) for i in range(max(1, len(words) - span + 1)))
+
+
+@dataclass(frozen=True)
+class Rarest:
+    """The items of a class by their rarest terms: those of term t are at `first[t]` to `first[t + 1]`.
+
+    `weight` is how many of the item's rarest words have the term, and `hits` how many of them each item's leaks have at least.
+    """
+
+    first: np.ndarray
+    item: np.ndarray
+    weight: np.ndarray
+    hits: np.ndarray
+
+    @staticmethod
+    def of(members: list[Item], idf: np.ndarray) -> "Rarest":
+        rows, hits = [], np.zeros(len(members), dtype=np.int64)
+        for i, item in enumerate(members):
+            n, terms = len(item.words), _terms(item.words)
+            need = n if n < 5 else math.ceil(SIMILARITY * n)
+            hits[i] = min(HITS, need)
+            rarest, times = np.unique(terms[np.argsort(-idf[terms], kind="stable")[:n - need + hits[i]]], return_counts=True)
+            rows.append(np.stack([rarest, np.full(len(rarest), i), times]))
+        term, item, weight = np.concatenate(rows, axis=1)
+        order = np.argsort(term, kind="stable")
+        return Rarest(np.searchsorted(term[order], np.arange(BUCKETS + 1)), item[order], weight[order], hits)
+
+    def pairs(self, terms: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The windows, as runs of `terms`, and items that have enough of the item's rarest words; a word may count twice."""
+        at = np.flatnonzero(self.first[terms + 1] > self.first[terms])
+        head = self.first[terms[at]]
+        ends = np.concatenate(([0], np.cumsum(self.first[terms[at] + 1] - head)))
+        low = ends[np.searchsorted(at, start)]
+        length = ends[np.searchsorted(at, stop)] - low
+        total = np.cumsum(length)
+        a = 0
+        while a < len(length):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + _EXPANDED, side="right")))
+            before = np.cumsum(length[a:b]) - length[a:b]
+            window = np.repeat(np.arange(a, b), length[a:b])
+            seed = np.arange(len(window)) - np.repeat(before - low[a:b], length[a:b])
+            word = np.searchsorted(ends, seed, side="right") - 1
+            posting = head[word] + seed - ends[word]
+            key, place = np.unique(window * len(self.hits) + self.item[posting], return_inverse=True)
+            met = np.bincount(place, self.weight[posting], len(key))
+            window, item = key // len(self.hits), key % len(self.hits)
+            enough = met >= self.hits[item]
+            yield window[enough], item[enough]
+            a = b
+
 
 def read_items(benchmark: DataFrame) -> list[Item]:
     """The items of one block, at most `ITEMS` of them."""
@@ -184,12 +246,14 @@ class Index:
 
     `classes` have the window's size, the items' first place, the items and their vectors. `weights` has in the
     cell of an item and a term how many of the item's words have the term; pairs that share a cell are added up.
+    `rarest` has the rarest terms of each class.
     """
 
     terms: np.ndarray
     used: np.ndarray
     weights: np.ndarray
     classes: list[tuple[int, int, list[Item], np.ndarray]]
+    rarest: list[Rarest]
 
     @staticmethod
     def of(items: list[Item], idf: np.ndarray, space: np.ndarray) -> "Index":
@@ -206,7 +270,7 @@ class Index:
             for item in members:
                 np.add.at(weights, _cells(np.full(len(item.words), place), _terms(item.words)), 1)
                 place += 1
-        return Index(terms, used, weights, classes)
+        return Index(terms, used, weights, classes, [Rarest.of(members, idf) for _, _, members, _ in classes])
 
     def _at_most(self, item: np.ndarray, terms: np.ndarray, before: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """For each pair of an item and a run of `terms`, no fewer than the item's words that are in the run.
@@ -251,7 +315,7 @@ class Index:
         before = np.full(len(at), -1)
         before[order[1:]] = np.where(met[order[1:]] == met[order[:-1]], order[:-1], -1)
         in_text = np.arange(n_steps) - first_step[text_of]
-        for size, place, members, vectors in self.classes:
+        for (size, place, members, vectors), rarest in zip(self.classes, self.rarest):
             stride = max(1, size // 2 // _STEP)
             width = size // _STEP + stride
             starts = np.flatnonzero(in_text % stride == 0)
@@ -262,18 +326,28 @@ class Index:
             highs = np.minimum(words.first[text_of[starts] + 1], begin[starts] + width * _STEP + size // 4)
             first_met, last_met = np.searchsorted(at, lows), np.searchsorted(at, highs)
             least = np.array([SIMILARITY * len(item.words) for item in members])
-            for a in range(0, len(members), 512):
-                window, item = np.nonzero(x @ vectors[a:a + 512].T.astype(np.float32) >= COSINE * norms[:, None])
-                item += a
+            tried = set()
+
+            def candidates(window: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
                 # No subsequence is longer than the number of the item's words that are there at all.
                 enough = self._at_most(place + item, met, before, first_met[window], last_met[window]) >= least[item]
                 for w, i in zip(window[enough].tolist(), item[enough].tolist()):
-                    text, candidate = int(text_of[starts[w]]), members[i]
-                    if candidate.id in found[text] and found[text][candidate.id] >= 1:
-                        continue
-                    share = candidate.found(words.hashes[lows[w]:highs[w]])
-                    if share:
-                        found[text][candidate.id] = max(share, found[text].get(candidate.id, 0.0))
+                    if found[text_of[starts[w]]].get(members[i].id, 0.0) < 1 and (w, i) not in tried:
+                        yield w, i, words.hashes[lows[w]:highs[w]]
+
+            def keep(w: int, i: int, share: float) -> None:
+                if share:
+                    of_text, key = found[text_of[starts[w]]], members[i].id
+                    of_text[key] = max(share, of_text.get(key, 0.0))
+
+            for a in range(0, len(members), 512):
+                window, item = np.nonzero(x @ vectors[a:a + 512].T.astype(np.float32) >= COSINE * norms[:, None])
+                for w, i, there in candidates(window, item + a):
+                    keep(w, i, members[i].found(there))
+                    tried.add((w, i))
+            for window, item in rarest.pairs(met, first_met, last_met):
+                for w, i, there in candidates(window, item):
+                    keep(w, i, members[i].found_near(there))
         return found
 
 

@@ -34,8 +34,8 @@ def empty(odd):
     return odd.limit(0)
 
 
-def _texts(spark):
-    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+def _texts(spark, folder=SF):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
 
 
 def test_byte_bpe_equals_the_library(spark, odd, empty):
@@ -286,6 +286,25 @@ def test_decontamination_finds_planted_items(spark, odd, empty):
     assert decontaminate.contamination(empty, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_items,least,most", [(2_000, 15, 63), (10_000, 15, 63), (500, 3, 8)])
+def test_decontamination_finds_every_verbatim_item(spark, n_items, least, most):
+    draw = random.Random(n_items)
+    texts = [t.split() for t in _texts(spark, "/root/testdata/sf0.01").values() if t and len(t.split()) > 80]
+    items, rows = [], []
+    for i in range(n_items):
+        words, n = draw.choice(texts), draw.randint(least, most)
+        at = draw.randrange(len(words) - n)
+        items.append((i, " ".join(words[at:at + n])))
+    for i, item in items[:1_000]:
+        host = draw.choice(texts)[:400]
+        at = draw.randrange(len(host))
+        rows.append((i, " ".join([*host[:at], item, *host[at:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(docs, benchmark).filter("contaminated AND array_contains(items, doc_id)").select("doc_id")
+    assert not {i for i, item in items[:1_000] if re.search(r"\w", item)} - {r["doc_id"] for r in found.collect()}
+
+
 def test_common_subsequence_and_classes():
     a, b = np.array([1, 2, 3, 2, 5]), np.array([2, 9, 3, 5, 1])
     assert decontaminate.common_subsequence(a, b) == 3 and decontaminate.common_subsequence(a, a) == 5
