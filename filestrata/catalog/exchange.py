@@ -1,6 +1,8 @@
 """Registered sources, sinks, recovery, packing and composed exports (S and K rows)."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
@@ -364,7 +366,8 @@ _CAPSULE_FILES = _SECTIONS.replace(
 
 
 def _compact_capsule(spark: SparkSession, sf_dir: str) -> capsule.Capsule:
-    return capsule.Capsule(document_files(spark, sf_dir), capsule.CapsuleOptions().compact())
+    """The compact preset without its size cut, so that files of any size are sections."""
+    return capsule.Capsule(document_files(spark, sf_dir), replace(capsule.CapsuleOptions().compact(), max_file_size=None))
 
 
 def _capsule_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
