@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,25 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as compressed Parquet into the checkpoint folder and read it back; `discard` deletes it.
+
+    Unlike `frozen`, rows may be dealt to other partitions each time they are read.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of `stored` tables that no later job reads."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+        if folder is not None:
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over at least one task per core, ahead of work that costs far more than a shuffle."""
     spark = df.sparkSession
