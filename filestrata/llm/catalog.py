@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, lattice_lm, licences, main_text, near_copies, private_data, quality_rules, token_counts, toxicity
+from . import (alignment, byte_bpe, decontaminate, fill_middle, lattice_lm, licences, main_text, near_copies, private_data, quality_rules,
+               token_counts, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -18,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_lm": lattice_lm.op8_lattice_lm,
     "op9_main_text": main_text.op9_main_text,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
-#: None of these operators' results can be said in SQL as a whole; tests compare them with brute force.
-ORACLES: dict[str, str] = {}
+#: The other operators' results cannot be said in SQL as a whole; tests compare them with brute force.
+ORACLES: dict[str, str] = {"op13_fill_middle": fill_middle.OP13_SQL}
