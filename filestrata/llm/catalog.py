@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (alignment, byte_bpe, decontaminate, fill_middle, lattice_lm, licences, main_text, near_copies, private_data, quality_rules,
+from . import (alignment, byte_bpe, decontaminate, fill_middle, language, lattice_lm, licences, main_text, near_copies, private_data, quality_rules,
                token_counts, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_lm": lattice_lm.op8_lattice_lm,
     "op9_main_text": main_text.op9_main_text,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_language": language.op11_language,
     "op12_token_alignment": alignment.op12_token_alignment,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
