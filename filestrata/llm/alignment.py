@@ -23,7 +23,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -42,8 +41,10 @@ PRODUCTS = 1 << 21
 HEAVY = 1 << 20
 #: Text that is aligned at a time.
 SLICE = 1 << 20
+#: Segments that are encoded as one text.
+RUN = 512
 #: Segments of a text that are added up at a time, and characters of the segments that a worker keeps, some for each besides its own.
-BLOCK, KEPT, EACH = 1 << 17, 20 << 20, 40
+BLOCK, KEPT, EACH = 1 << 17, 12 << 20, 40
 
 
 class Csr(NamedTuple):
@@ -173,19 +174,47 @@ class Aligner:
 
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """The ids of both sides, of texts that start with white space; none where the bytes of a side are not the text."""
-        found, raw = [side.ids(texts) for side in (self.a, self.b)], [text.encode() for text in texts]
-        joined, ends = b"".join(raw), np.cumsum([0, *map(len, raw)])
-        for side, sizes, ids in zip((self.a, self.b), (self.a_size, self.b_size), found):
-            flat = list(chain.from_iterable(ids))
-            got = np.concatenate(([0], np.cumsum(sizes[np.array(flat, dtype=np.int64)])))[np.cumsum([0, *map(len, ids)])]
-            if b"".join(map(side.bytes.__getitem__, flat)) != joined or (got != ends).any():
-                for i, x in enumerate(ids):
-                    if b"".join(map(side.bytes.__getitem__, x)) != raw[i]:
-                        found[0][i] = found[1][i] = []
-        return list(zip(*found))
+        out = []
+        for text, a, b in zip(texts, self.a.ids(texts), self.b.ids(texts)):
+            same = all(b"".join(map(side.bytes.__getitem__, ids)) == text.encode() for side, ids in ((self.a, a), (self.b, b)))
+            out.append((a, b) if same else ([], []))
+        return out
+
+    def tokens_of_segments(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all segments in one, and where each segment's begin.
+
+        Segments that end in another character than white space are encoded many at a time, as parts of one text.
+        """
+        runs, single = [], []
+        inner = [s for s in segments if not s[-1:].isspace()] if self.b.cuts else []
+        for i in range(0, len(inner), RUN):
+            run = inner[i:i + RUN]
+            ends, text = np.cumsum([len(s.encode()) for s in run]), "".join(run)
+            found = []
+            for side, sizes in ((self.a, self.a_size), (self.b, self.b_size)):
+                ids = side.ids([text])[0]
+                flat = np.array(ids, dtype=np.int64)
+                at = np.cumsum(sizes[flat])
+                bounds = np.searchsorted(at, ends)
+                if b"".join(map(side.bytes.__getitem__, ids)) != text.encode() or (at[bounds] != ends).any():
+                    break
+                found.append((flat, bounds + 1))
+            if len(found) == 2:
+                runs.append((run, found))
+            else:
+                single += run
+        single += [s for s in segments if s[-1:].isspace()] if self.b.cuts else segments
+        for segment, pair in zip(single, self.tokens(single)):
+            runs.append(([segment], [(np.array(ids, dtype=np.int64), np.array([len(ids)])) for ids in pair]))
+        segments[:] = [s for run, _ in runs for s in run]
+        out = []
+        for side in (0, 1):
+            sizes = np.concatenate([np.diff(found[side][1], prepend=0) for _, found in runs])
+            out.append((np.concatenate([found[side][0] for _, found in runs]), np.concatenate(([0], np.cumsum(sizes)))))
+        return out
 
     def learn(self, segments: list[str]) -> None:
-        found = Aligned(self, self.tokens(segments))
+        found = Aligned(self, *self.tokens_of_segments(segments))
         n_groups, n_shared = found.counts()
         of, pairs = found.linked_ids()
         n_links = np.bincount(of, minlength=len(segments))
@@ -261,10 +290,9 @@ def _runs(of: np.ndarray, pair: np.ndarray, n: np.ndarray | None = None) -> tupl
 class Aligned:
     """Texts one after the other: `a_ids`, `b_ids`, their bytes and groups; text i has the tokens between its bounds."""
 
-    def __init__(self, aligner: Aligner, tokens: list[tuple[list[int], list[int]]]):
+    def __init__(self, aligner: Aligner, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]):
         self.aligner = aligner
-        self.a_ids, self.b_ids = (np.array([i for t in tokens for i in t[side]], dtype=np.int64) for side in (0, 1))
-        self.a_bounds, self.b_bounds = (np.cumsum([0, *(len(t[side]) for t in tokens)]) for side in (0, 1))
+        (self.a_ids, self.a_bounds), (self.b_ids, self.b_bounds) = a, b
         self.a_ends, self.b_ends = np.cumsum(aligner.a_size[self.a_ids]), np.cumsum(aligner.b_size[self.b_ids])
         self.width = int(self.a_ends[-1]) if len(self.a_ends) else 0
         self.group_ends = np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
@@ -307,6 +335,10 @@ class Aligned:
         return self.texts_of(rows), self.a_ids[rows] * size + self.b_ids[columns]
 
 
+def _flat(tokens: list[tuple[list[int], list[int]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.array([i for t in tokens for i in t[side]], dtype=np.int64), np.cumsum([0, *(len(t[side]) for t in tokens)])) for side in (0, 1)]
+
+
 def _aligner(path_a: str, path_b: str) -> Aligner:
     return frames.kept(f"aligner {path_a} {path_b}", lambda: Aligner(path_a, path_b))
 
@@ -343,7 +375,7 @@ def links(docs: DataFrame, path_a: str, path_b: str, by: str = "bytes") -> DataF
         for batch in frames.slices(batches, "text", SLICE):
             texts = batch.column("text").to_pylist()
             tokens = iter(aligner.tokens([" " + text for text in texts if text]))
-            found = Aligned(aligner, [next(tokens) if text else ([], []) for text in texts])
+            found = Aligned(aligner, *_flat([next(tokens) if text else ([], []) for text in texts]))
             for rows, columns, shared in found.overlaps() if by == "bytes" else found.shared_groups():
                 of = found.texts_of(rows)
                 yield pa.RecordBatch.from_arrays([
