@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import lookup_join
-from ..session import frozen
+from ..session import discard, stored
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     every node's larger neighbours, then its smaller ones, on the smallest node known to it; the edges have
     settled when all point at a root. A node with very many edges is salted by the lookup join.
     """
-    stars = frozen(
+    stars = stored(
         edges.filter(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
@@ -31,10 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = lookup_join(both, least, ["u"], ["v"], "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = lookup_join(large, least, ["u"], ["v"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        stars = frozen(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        old, stars = stars, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
         after = _mark(stars)
         if after == before:
             break
         before = after
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+    roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = stored(roots)
+    discard(stars)
+    return out

@@ -3,14 +3,20 @@
 A document is the set of its distinct word shingles; two are linked if the sets' Jaccard similarity reaches a
 threshold. One pass hashes each shingle once, deals the hashes into bins by their top bits and keeps each
 bin's smallest; an empty bin borrows from the first non-empty bin on a fixed random tour of its own. Runs of
-bins make bands. Documents with equal sets are one class, and only one of them goes on. A band's bucket
-proposes star edges only, from its centre to every other member, so candidates grow with the members and not with
-their square. Links are confirmed on the full sets.
-
-A star can miss a link between two members that are both unlike the centre. Within one component further
-links change nothing, so a second round compares, in each bucket whose members ended up in several
-components, the members outside its largest component with the members of other components: pair by pair in
-small buckets, and in blocks of bounded size in large ones, which move a member once per block and not once per pair.
+bins make bands. Documents with equal sets are one class, and only one of them goes on.
+
+Bands are taken in rounds. A band's bucket proposes star edges only, from its centre to every other member, so candidates grow with
+the members and not with their square; what a round links is joined before the next, which proposes pairs across components only.
+A proposal must pass two narrow checks, the sizes of the sets and the bins in which the signatures agree, before the texts
+of both meet; a centre's text travels once per block of its members. Links are confirmed on the full sets.
+
+A star can miss a link between two members that are both unlike the centre. Within one component further links change nothing, so
+at last, in each bucket whose members are still in several components, the members outside its largest component
+are compared with the members of other components, by signatures of a byte per bin: pair by pair in small buckets, and in blocks
+of bounded size in large ones. A large bucket in which many members are left is dealt anew by a second band first: two similar sets agree in
+several bands, so they still meet, and others part; what moves grows with the members, not with their square.
+
+Only ids, signatures and buckets are stored between rounds, as compressed tables that are deleted when the next one stands.
 """
 from __future__ import annotations
 
@@ -19,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.joins import lookup_join
-from ..session import frozen
+from ..operators.joins import fits_broadcast, lookup_join
+from ..session import discard, stored
 from . import frames
 from .components import components
 from .words import Words, mixed, sequence_hash, window_hashes
@@ -30,8 +36,12 @@ from .words import Words, mixed, sequence_hash, window_hashes
 SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
+#: Bands of each round.
+ROUNDS = (2, 6, 24)
 #: Members of a bucket that are compared pair by pair, and members of a block in larger buckets.
 PAIRWISE, BLOCK = 64, 256
+#: Standard errors that signatures may agree less than they should.
+ERRORS = 5.0
 
 _RANDOM = np.random.default_rng(20240301)
 #: A random tour for each bin, with all bins at its end so that it meets a full one.
@@ -73,150 +83,256 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return hashes[first[source]]
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key per band; keys of different bands differ."""
-    rows = signature(hashes).reshape(BANDS, ROWS)
+def band_keys(bins: np.ndarray) -> np.ndarray:
+    """One key per band of a signature; keys of different bands differ."""
+    rows = bins.reshape(BANDS, ROWS)
     return mixed((rows * _WEIGHTS).sum(axis=1, dtype=np.uint64) + _BAND_SALT).view(np.int64)
 
 
+def promising(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of signatures agree in so many bins that the sets, of the given sizes, may be similar enough.
+
+    With few shingles few bins are full, and agreement tells less; so it has to be within `ERRORS` standard errors of the threshold.
+    """
+    least, most = np.minimum(n_x, n_y), np.maximum(n_x, n_y)
+    full = BINS * -np.expm1(-least / BINS)
+    share = percent / 100
+    wanted = BINS * (share - ERRORS * np.sqrt(share * (1 - share) / np.maximum(full, 1e-9)))
+    return (100 * least >= percent * most) & ((x == y).sum(axis=-1) >= wanted)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """`doc_id, n_shingles, key1, key2, bands`: equal keys mean equal sets; empty sets have no bands."""
+    """`doc_id, mark, n_shingles, key1, key2, bands, signature`: equal keys mean equal sets; empty sets have no bands.
+
+    `mark` is a hash of the text, which tells rows of one id apart. The signature has the low byte of each bin.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames.slices(batches, "text"):
             sets = shingle_sets(frames.raw(batch.column("text")))
             keys = [[mixed(s ^ salt).sum(dtype=np.uint64).view(np.int64) for s in sets] for salt in _KEY_SALT]
+            rows = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), frames.longs([len(s) for s in sets]), *map(frames.longs, keys),
-                pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-            ], ["doc_id", "n_shingles", "key1", "key2", "bands"])
+                batch.column("doc_id"), batch.column("mark"), frames.longs([len(s) for s in sets]), *map(frames.longs, keys),
+                pa.array([[] if r is None else band_keys(r) for r in rows], pa.list_(pa.int64())),
+                pa.array([b"" if r is None else mixed(r).astype(np.uint8).tobytes() for r in rows], pa.binary()),
+            ], ["doc_id", "mark", "n_shingles", "key1", "key2", "bands", "signature"])
+
+    return frames.texts(docs, _mark()).mapInArrow(
+        run, "doc_id long, mark long, n_shingles long, key1 long, key2 long, bands array<long>, signature binary")
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
 
-    return frames.texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
 
+def _if_small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if fits_broadcast(table) else table
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs (`a`, `b`) of ids whose full sets have 100 * intersection >= percent * union."""
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs (`a`, `b`) of nodes whose full sets have 100 * intersection >= percent * union.
+
+    Pairs of one `a` are dealt into blocks. Texts meet their pairs where they are read if the pairs are few, and travel once, to their blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
-        for whole in batches:
-            for batch in frames.slices(iter([whole]), "text_b"):
-                a, b = (batch.column(c).to_pylist() for c in "ab")
-                new = [i for i, x in enumerate(a) if x != (a[i - 1] if i else last)]
-                lefts = dict(zip(new, shingle_sets([batch.column("text_a")[i].as_py().encode() for i in new])))
-                linked = []
-                for i, right in enumerate(shingle_sets(frames.raw(batch.column("text_b")))):
-                    left = lefts.get(i, left)
+        centre, left = None, None
+        for batch in frames.slices(batches, "text"):
+            of, node, role = (batch.column(c).to_pylist() for c in ("a", "node", "role"))
+            found = []
+            for i, right in enumerate(shingle_sets(frames.raw(batch.column("text")))):
+                if role[i] == 0:
+                    centre, left = of[i], right
+                elif centre == of[i]:
                     both = len(np.intersect1d(left, right, assume_unique=True))
-                    linked.append(100 * both >= percent * (len(left) + len(right) - both))
-                last = a[-1]
-                at = np.flatnonzero(linked)
-                yield pa.RecordBatch.from_arrays([frames.longs(np.asarray(a)[at]), frames.longs(np.asarray(b)[at])], ["a", "b"])
+                    if 100 * both >= percent * (len(left) + len(right) - both):
+                        found.append((of[i], node[i]))
+            yield pa.RecordBatch.from_arrays([frames.longs([x[i] for x in found]) for i in (0, 1)], ["a", "b"])
+
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = lookup_join(pairs, counts, ["a"], ["b"], "inner").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    wanted = dealt.select("a", "block", F.col("b").alias("node"), F.lit(1).alias("role")).unionByName(
+        dealt.select("a", "block").distinct().select("a", "block", F.col("a").alias("node"), F.lit(0).alias("role")))
+    named = wanted.join(nodes.select("node", "doc_id", "mark"), "node")
+    table = stored(named)
+    texts = frames.texts(docs, _mark()).join(_if_small(table), ["doc_id", "mark"])
+    # Rows that repeat an id and text give the same link again.
+    in_blocks = texts.select("a", "block", "node", "role", "text").repartition("a", "block").sortWithinPartitions("a", "block", "role")
+    links = stored(in_blocks.mapInArrow(run, "a long, b long").distinct())
+    discard(table)
+    return links
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs whose sizes and signatures allow a link."""
 
-    a = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_matrix(batch.column(c).to_pylist()) for c in ("signature_a", "signature_b"))
+            n_x, n_y = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            at = pa.array(np.flatnonzero(promising(x, y, n_x, n_y, percent)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in "ab"], ["a", "b"])
+
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab")
+    # One centre may be in very many pairs.
+    centres = a.join(pairs.select("a").distinct(), "a", "left_semi")
+    met = lookup_join(pairs.join(b, "b"), centres, ["a"], ["b"], "inner")
+    met = met.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return met.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
+
+
+def _matrix(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), dtype=np.uint8).reshape(-1, BINS)
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame | None, first: int, bands: int) -> DataFrame:
+    """`band, bucket, node, root` of some bands; a node that nothing is linked with is its own root."""
+    kept = nodes.select("node", F.slice("bands", first + 1, bands).alias("bands"))
+    if roots is None:
+        kept = kept.withColumn("root", F.col("node"))
+    else:
+        kept = kept.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return kept.select("node", "root", F.posexplode("bands").alias("band", "bucket"))
+
+
+def _stars(rooted: DataFrame) -> DataFrame:
+    """Pairs of each bucket's centre, its least node, with its members in other components."""
+    spans = rooted.groupBy("bucket").agg(F.min("node").alias("a"), F.min_by("root", "node").alias("of"), F.min("root").alias("low"), F.max("root").alias("high"))
+    spans = stored(spans.filter("low <> high").select("bucket", "a", "of"))
+    met = lookup_join(rooted, spans, ["bucket"], ["node"], "inner").filter("root <> of")
+    out = stored(met.select("a", F.col("node").alias("b")).distinct())
+    discard(spans)
+    return out
 
 
-def _unlike(tagged: DataFrame) -> DataFrame:
+def _unlike(rooted: DataFrame) -> DataFrame:
     """Members of buckets that span components, with the bucket's size, its largest component and the rest's size."""
-    shares = tagged.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    shares = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     spans = (
         shares.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
         .filter("parts > 1")
         .select("bucket", "size", F.col("main.root").alias("main"), (F.col("size") - F.col("main.n")).alias("rest"))
     )
-    return tagged.join(spans, "bucket")
+    spans = stored(spans)
+    out = stored(lookup_join(rooted, spans, ["bucket"], ["node"], "inner"))
+    discard(spans)
+    return out
 
 
-def _small_pairs(unlike: DataFrame) -> DataFrame:
-    """Pairs across components in buckets of at most `PAIRWISE` members, without those of the star round."""
-    small = unlike.filter(F.col("size") <= PAIRWISE).select("bucket", "member", "root", "main", "centre")
-    other = small.select("bucket", F.col("member").alias("b"), F.col("root").alias("root_b"))
-    met = small.filter("root <> main AND member <> centre").join(other, "bucket")
-    return (
-        met.filter("root <> root_b AND b <> centre AND (root_b = main OR member < b)")
-        .select(F.least("member", "b").alias("a"), F.greatest("member", "b").alias("b")).distinct()
-    )
+def _small_pairs(small: DataFrame) -> DataFrame:
+    """Pairs across components in buckets of at most `PAIRWISE` members."""
+    other = small.select("bucket", F.col("node").alias("other"), F.col("root").alias("root_other"))
+    met = small.filter("root <> main").join(other, "bucket").filter("root <> root_other AND (root_other = main OR node < other)")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _block_links(unlike: DataFrame, texts_of: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links across components in larger buckets, blocks against blocks."""
-    large = unlike.filter(F.col("size") > PAIRWISE).select(
-        "bucket", "member", "root", "main",
+def _block_pairs(large: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in larger buckets whose signatures allow a link, blocks against blocks."""
+    named = large.join(nodes.select("node", "n_shingles", "signature"), "node").select(
+        "bucket", "node", "root", "main", "n_shingles", "signature",
         F.ceil(F.col("rest") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"))
-    named = large.join(texts_of.withColumnRenamed("doc_id", "member"), "member")
-    block = F.xxhash64("member")
-    left = named.filter("root <> main").select(
-        "bucket", F.pmod(block, F.col("lefts")).cast("int").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("rb"),
-        "member", "root", "text")
-    right = named.select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("lb"), F.pmod(block, F.col("rights")).cast("int").alias("rb"),
-        "member", "root", "main", "text")
+    block = F.xxhash64("node")
+    columns = ["bucket", "lb", "rb", "node", "root", "main", "n_shingles", "signature"]
+    left = named.filter("root <> main").withColumn("lb", F.pmod(block, F.col("lefts")).cast("int")).withColumn(
+        "rb", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).select(*columns)
+    right = named.withColumn("rb", F.pmod(block, F.col("rights")).cast("int")).withColumn(
+        "lb", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).select(*columns)
 
     def compare(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         if len(xs) and len(ys):
-            x_sets, y_sets = (shingle_sets([t.encode() for t in side["text"]]) for side in (xs, ys))
-            x_keys, y_keys = (np.array([band_keys(s) for s in sets]) for sets in (x_sets, y_sets))
-            sizes = np.array([len(s) for s in y_sets])
-            joined, starts = np.concatenate(y_sets), np.cumsum(sizes) - sizes
-            y_ids, y_roots = ys["member"].to_numpy(), ys["root"].to_numpy()
-            y_main = y_roots == ys["main"].to_numpy()
-            for i, (x, root) in enumerate(zip(xs["member"], xs["root"])):
-                # A pair that meets in several buckets is looked at in the first of them.
-                same = y_keys == x_keys[i]
-                first = same.any(axis=1) & (y_keys[np.arange(len(y_keys)), same.argmax(axis=1)] == xs["bucket"].iat[0])
-                at = np.flatnonzero(first & (y_roots != root) & (y_main | (y_ids > x)))
-                if len(at):
-                    mine = x_sets[i]
-                    hit = mine[np.minimum(np.searchsorted(mine, joined), len(mine) - 1)] == joined
-                    both = np.add.reduceat(hit, starts, dtype=np.int64)[at]
-                    for y in y_ids[at[100 * both >= percent * (len(mine) + sizes[at] - both)]]:
-                        found.append((min(x, y), max(x, y)))
+            x, y = _matrix(xs["signature"].tolist()), _matrix(ys["signature"].tolist())
+            n_y, ids, roots = ys["n_shingles"].to_numpy(), ys["node"].to_numpy(), ys["root"].to_numpy()
+            of_main = roots == ys["main"].to_numpy()
+            for i, (node, root, n) in enumerate(zip(xs["node"], xs["root"], xs["n_shingles"])):
+                fit = promising(x[i], y, np.full(len(n_y), n), n_y, percent) & (roots != root) & (of_main | (ids > node))
+                found += [(min(node, other), max(node, other)) for other in ids[fit]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     keys = ["bucket", "lb", "rb"]
     right = right.toDF(*right.columns)  # columns of its own, as both sides come from one frame
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
-
-
-def linked(one_each: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """`node, root` of the classes that have links; `one_each` has a sketch, and `docs` a text, of each class."""
-    dealt = one_each.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("member").alias("centre"), F.max("member").alias("last")).filter("centre < last")
-    members = frozen(dealt.join(shared.select("bucket", "centre"), "bucket"))
-    texts_of = frozen(docs.join(members.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                      .dropDuplicates(["doc_id"]))
-    proposed = members.filter("member <> centre").select(F.col("centre").alias("a"), F.col("member").alias("b")).distinct()
-    links = frozen(confirmed(proposed, texts_of, percent))
-    roots = components(links)
-    tagged = members.join(roots, members["member"] == roots["node"], "left").select(
-        "bucket", "member", "centre", F.coalesce("root", "member").alias("root"))
-    unlike = frozen(_unlike(tagged))
-    more = frozen(confirmed(_small_pairs(unlike), texts_of, percent).unionByName(_block_links(unlike, texts_of, percent)))
-    return components(links.unionByName(more)) if more.take(1) else roots
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long").distinct()
+
+
+def _dealt_anew(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of large buckets by their bucket and each later band: `band, bucket, node, root`.
+
+    Of the bands that two sets share, the first one's bucket is either not crowded or dealt anew with the others.
+    """
+    bands = nodes.select("node", "bands")
+    later = crowded.select("node", "root", "band", F.col("bucket").alias("crowd")).join(bands, "node").select(
+        "node", "root", "crowd", F.posexplode(F.expr("slice(bands, band + 2, 64)")).alias("band", "bucket"))
+    return later.select("band", F.xxhash64("crowd", "bucket").alias("bucket"), "node", "root")
+
+
+def _leftovers(nodes: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs across components that share a bucket and may be linked."""
+    unlike = _unlike(_rooted(nodes, roots, 0, BANDS))
+    few = (F.col("size") > PAIRWISE) & (F.col("rest") <= BLOCK)
+    again = _unlike(_dealt_anew(unlike.filter((F.col("size") > PAIRWISE) & ~few), nodes))
+    small = [_small_pairs(x.filter(F.col("size") <= PAIRWISE)) for x in (unlike, again)]
+    large = [_block_pairs(unlike.filter(few), nodes, percent), _block_pairs(again.filter(F.col("size") > PAIRWISE), nodes, percent)]
+    close = stored(small[0].unionByName(small[1]).distinct())
+    out = stored(_likely(close, nodes, percent).unionByName(large[0]).unionByName(large[1]).distinct())
+    discard(unlike, again, close)
+    return out
+
+
+def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """`node, root` of the classes that have links; `nodes` has a sketch of each class, and `docs` the texts by id."""
+    links, roots, first = None, None, 0
+    for bands in (*ROUNDS, None):
+        if bands is None:
+            pairs = _leftovers(nodes, roots, percent)
+        else:
+            proposed = _stars(_rooted(nodes, roots, first, bands))
+            pairs, first = stored(_likely(proposed, nodes, percent)), first + bands
+            discard(proposed)
+        if pairs.take(1):
+            found = confirmed(pairs, nodes, docs, percent)
+            # Roots stand for all that was linked before.
+            edges = found if roots is None else found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+            old, roots = roots, components(edges)
+            discard(found, *([] if old is None else [old]))
+        discard(pairs)
+    return roots
 
 
 def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """`doc_id, n_shingles, component_id, kept` of each document.
 
     `component_id` is the smallest id that links lead to, `kept` tells whether it is the document's own. Null and
-    empty texts are linked with nothing. A null id is left alone: its component is null and it stays. Of rows that
-    repeat an id with different texts, each counts for its own text, and all get the id's component.
+    empty texts are linked with nothing. A null id is left alone: its component is null and it stays. Each row counts for its own
+    text; rows that repeat an id with different texts may be in different components.
     """
-    sketched = frozen(sketches(docs))
+    return _judged(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of `near_copies` with their `mark` and, if they have an id and words, the `root` of their component."""
+    sketched = stored(sketches(docs).withColumn("row", F.monotonically_increasing_id()))
     keys = ["key1", "key2", "n_shingles"]
     filled = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy(*keys).agg(F.min("doc_id").alias("member"))
-    one_each = sketched.join(classes.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    roots = linked(one_each.filter("n_shingles > 0"), frames.texts(docs), percent)
-    class_roots = classes.join(roots, classes["member"] == roots["node"], "left").select(
-        *keys, F.coalesce("root", "member").alias("component_id"))
-    found = lookup_join(sketched.select("doc_id", *keys), class_roots, keys, ["doc_id"])
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"),
-                        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # Of a class the row with the least id, and of its rows one, stands for all.
+    classes = stored(filled.groupBy(*keys).agg(F.min(F.struct("doc_id", "row")).alias("least")).select(
+        *keys, F.col("least.row").alias("node"), F.col("least.doc_id").alias("first_id")))
+    nodes = stored(filled.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi").select(
+        "node", "doc_id", "mark", "n_shingles", "bands", "signature"))
+    roots = linked(nodes, docs, percent)
+    if roots is None:
+        component = classes.select(*keys, F.col("first_id").alias("component_id"), F.col("node").alias("root"))
+    else:
+        rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        component = lookup_join(rooted, ids, ["root"], ["node"], "inner").select(*keys, "component_id", "root")
+    component = stored(component)
+    discard(nodes, classes, *([] if roots is None else [roots]))
+    found = lookup_join(sketched.select("doc_id", "mark", *keys), component, keys, ["doc_id"])
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "mark", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"),
+                        F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"))
 
 
 def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +341,20 @@ def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of `docs` whose id is their component's own, and of rows that repeat an id and text one."""
-    dropped = near_copies(docs, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, and all rows that have no id or no words.
+
+    That is a row of the component's smallest id; of several rows of that id the one whose text has the least hash, and of rows that
+    repeat id and text one. Rows that repeat an id with texts that are not linked all stay.
+    """
+    judged = stored(_judged(docs, percent).filter("root IS NOT NULL").select("doc_id", "mark", "root"))
+    least = judged.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("least"))
+    rest = lookup_join(judged, least, ["root"], ["doc_id", "mark"], "inner").filter(F.struct("doc_id", "mark") != F.col("least"))
+    drop = stored(rest.select(F.col("doc_id").alias("_near_id"), F.col("mark").alias("_near_mark")).distinct())
+    same = stored(judged.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1").select(
+        F.col("doc_id").alias("_near_id"), F.col("mark").alias("_near_mark")))
+    met = (F.col("doc_id") == F.col("_near_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_near_mark"))
+    out = docs.join(_if_small(drop), met, "left_anti")
+    if same.take(1):
+        once = out.join(_if_small(same), met, "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(_if_small(same), met, "left_anti").unionByName(once)
+    return out.select(*docs.columns)
