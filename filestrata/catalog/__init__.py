@@ -6,9 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import code, columns, exchange, rollups
+from . import code, columns, exchange, features, rollups
 
-_FAMILIES = (columns, rollups, code, exchange)
+_FAMILIES = (columns, rollups, code, exchange, features)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import packing, symbols
 from ..plans import bundle, capsule, corpus
 from ..session import checkpoint_folder
-from ..sources import dumps, recovery
+from ..sources import documents, dumps, recovery
 from ..sources.pyfacts import python_facts
 from ..sources.tables import document_files, part_sources
 from ..sources.tree import read_tree
@@ -309,6 +309,23 @@ _add(
           WHEN 1 THEN chr(10) || {_RTRIM} ELSE content END AS content FROM dumped WHERE dump_id % 4 < 3""",
 )
 
+# --- whole documents out and back ------------------------------------------------------
+
+
+def _round_trip(form: str):
+    return lambda s, d: documents.round_trip(document_files(s, d), form)
+
+
+_add("s10_round_trip", _round_trip("full-content-json"), f"{FILES} SELECT project_id, path, content FROM files WHERE content <> ''")
+_add(
+    "s11_round_trip", _round_trip("full-content-markdown"),
+    f"{FILES} SELECT project_id, path, trim(content, {WS_CHARS}) || chr(10) AS content FROM files WHERE content IS NOT NULL",
+)
+_add(
+    "s12_round_trip", _round_trip("legacy-html"),
+    f"{FILES} SELECT project_id, path, chr(10) || {_RTRIM} AS content FROM files WHERE content IS NOT NULL",
+)
+
 # --- bundle, packing, capsule, corpus --------------------------------------------------
 
 

@@ -14,13 +14,14 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], spread_by: list[str],
-                how: str = "left") -> DataFrame:
+                how: str = "left", small: bool | None = None) -> DataFrame:
     """Join many ``rows`` to a keyed ``table`` of unique keys.
 
     A table measured as small is broadcast. A larger one is copied over ``SPREAD`` salts and the
-    rows take a salt from ``spread_by``, so a hot key's rows meet the table in many tasks.
+    rows take a salt from ``spread_by``, so a hot key's rows meet the table in many tasks. Rounds whose
+    tables have a common bound measure it once and pass the answer as ``small``.
     """
-    if fits_broadcast(table):
+    if fits_broadcast(table) if small is None else small:
         return rows.join(F.broadcast(table), keys, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int"))

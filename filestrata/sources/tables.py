@@ -122,3 +122,27 @@ def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_table(parts.select(
         F.concat(F.lit("proj"), (F.col("p_size") % 5).cast("string")).alias("project_id"),
         path.alias("path"), F.lit(None).cast("timestamp_ntz").alias("mtime"), source.alias("raw_text")))
+
+
+def linked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as Python files that import each other, with cycles of up to five modules, long chains and a module all lean on.
+
+    Keys come in runs of 200, a project each run; ``i`` is the place in the run.
+    """
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    run, i = _whole(F.col("k") - 1, 200), (F.col("k") - 1) % 200
+    ring = _whole(i, 10) % 5
+    first = F.col("k") - i
+
+    def line(words: str, when: Column, target: Column) -> Column:
+        return F.when(when, F.concat(F.lit(words), target.cast("long").cast("string"), F.lit("\n"))).otherwise("")
+
+    source = F.concat(
+        F.lit("import os\n"), line("import pkg.m", i % 10 < ring, F.col("k") + 1),
+        line("import pkg.m", (i % 10 == ring) & (ring > 0), F.col("k") - ring),
+        line("from pkg import m", (i >= 17) & (i % 3 == 0), F.col("k") - 17),
+        line("from pkg import m", i % 4 == 1, first + _whole(i, 2)), line("import pkg.m", i % 10 == 9, first),
+        F.lit("\n\ndef f():\n    return os\n"))
+    return files_table(parts.select(
+        F.concat(F.lit("graph"), run.cast("string")).alias("project_id"), F.concat(F.lit("pkg/m"), F.col("k").cast("string"), F.lit(".py")).alias("path"),
+        F.lit(None).cast("timestamp_ntz").alias("mtime"), source.alias("raw_text")))
