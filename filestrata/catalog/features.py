@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import budgets, chunks, cycles, graph, redaction, symbols
+from ..operators import budgets, chunks, churn, cycles, graph, range_tree, redaction, symbols
 from ..session import frozen
 from ..sources.pyfacts import python_facts
 from ..sources.tables import document_files, linked_sources
@@ -139,3 +139,59 @@ _add(
           CAST(length(content) - coalesce(h.chars, 0) + coalesce(h.put, 0) AS INTEGER) AS n_chars
         FROM files f LEFT JOIN hidden h USING (project_id, path)""",
 )
+
+# --- fingerprints over ranges ----------------------------------------------------------
+
+_FANOUT, _LEVELS = 6, 14
+
+
+def _tree_sql(levels: int) -> str:
+    """The tree level by level; a project with one node is done and stays as it is."""
+    parts = ["level0 AS (SELECT project_id, path AS first, sha256(path || '::' || size_bytes) AS hash, 0 AS level FROM files)"]
+    for k in range(levels):
+        parts.append(f"""level{k + 1} AS (SELECT project_id, min(first) AS first,
+          CASE WHEN any_value(n) = 1 THEN any_value(hash) ELSE sha256(string_agg(hash, '' ORDER BY first)) END AS hash,
+          any_value(level) + CASE WHEN any_value(n) = 1 THEN 0 ELSE 1 END AS level FROM (
+            SELECT *, count(*) OVER (PARTITION BY project_id) AS n, coalesce(sum(CAST(CAST('0x' || hash[1:8] AS UBIGINT) % {_FANOUT} = 0 AS INTEGER))
+              OVER (PARTITION BY project_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS range FROM level{k})
+          GROUP BY project_id, range)""")
+    return ", ".join(parts)
+
+
+_add(
+    "g4_fingerprint_tree", lambda s, d: range_tree.tree_fingerprint(document_files(s, d), _FANOUT),
+    f"{FILES}, {_tree_sql(_LEVELS)} SELECT project_id, hash AS fingerprint, CAST(level + 1 AS INTEGER) AS levels FROM level{_LEVELS}",
+)
+
+# --- churn -----------------------------------------------------------------------------
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and the same with every fifth line of some gone and lines added that were nowhere; others are gone or new."""
+    files = document_files(spark, sf_dir)
+    n = F.regexp_extract("path", r"/d(\d+)[./][^/]*$", 1).cast("long")
+    kept = F.array_join(F.filter(F.split("content", "\n", -1), lambda line, i: i % 5 != 2), "\n")
+    edited = F.when(n % 3 == 0, F.concat(F.lit("added first\nadded second\n"), kept)).otherwise(F.col("content"))
+    return files.filter(n % 11 != 4), files.filter(n % 11 != 7).withColumn("content", edited)
+
+
+_CHANGES = f"""{FILES}, numbered AS (SELECT project_id, path, content, CAST(regexp_extract(path, '/d([0-9]+)', 1) AS BIGINT) AS n FROM files),
+  edited AS (SELECT *, CASE WHEN n % 3 = 0 THEN 'added first' || chr(10) || 'added second' || chr(10)
+    || array_to_string(list_filter(string_split(content, chr(10)), lambda l, i: (i - 1) % 5 <> 2), chr(10)) ELSE content END AS changed FROM numbered),
+  counted_lines AS (SELECT *, CASE WHEN coalesce(content, '') = '' THEN 0 ELSE len(string_split(content, chr(10))) - CAST(content[-1:] = chr(10) AS INTEGER) END AS n_old,
+    CASE WHEN coalesce(changed, '') = '' THEN 0 ELSE len(string_split(changed, chr(10))) - CAST(changed[-1:] = chr(10) AS INTEGER) END AS n_new FROM edited),
+  changes AS (SELECT project_id, path,
+    CASE WHEN n % 11 = 4 THEN 'added' WHEN n % 11 = 7 THEN 'removed' WHEN n % 3 = 0 AND content IS NOT NULL THEN 'changed' ELSE 'same' END AS status,
+    CASE WHEN n % 11 = 4 THEN n_new WHEN n % 11 = 7 THEN 0 WHEN n % 3 = 0 AND content IS NOT NULL THEN 2 ELSE 0 END AS added,
+    CASE WHEN n % 11 = 4 THEN 0 WHEN n % 11 = 7 THEN n_old WHEN n % 3 = 0 AND content IS NOT NULL THEN n_old - (n_new - 2) ELSE 0 END AS removed
+    FROM counted_lines)"""
+
+_add(
+    "c19_line_changes", lambda s, d: churn.line_changes(*_snapshots(s, d)),
+    f"{_CHANGES} SELECT project_id, path, status, CAST(added AS BIGINT) AS added, CAST(removed AS BIGINT) AS removed FROM changes",
+)
+_add(
+    "c19_churn_hotspots", lambda s, d: churn.churn_hotspots(document_files(s, d), churn.line_changes(*_snapshots(s, d))),
+    f"""{_CHANGES} SELECT f.project_id, f.path, f.size_bytes, CAST(added + removed AS BIGINT) AS churn,
+        CAST(f.size_bytes * (added + removed) AS BIGINT) AS hotspot FROM files f JOIN changes c ON c.project_id = f.project_id AND c.path = f.path""",
+)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from filestrata.operators import budgets, chunks, cycles, joins, redaction, scans
+from filestrata.operators import budgets, chunks, churn, cycles, joins, range_tree, redaction, scans
 from filestrata.sources import documents, dumps
 
 
@@ -291,3 +291,48 @@ def test_html_states(spark):
     assert [(r["path"], r["content"]) for r in found] == [("a&b.py", "A <\n\nB")] and html.unescape("&lt;") == "<"
     with pytest.raises(ValueError):
         documents.recovered_lines(_lines(spark, text), "no-such-format")
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            row[j + 1], last = max(row[j + 1], row[j], last + (x == y)) if x != y else last + 1, row[j + 1]
+    return row[-1]
+
+
+def test_common_lines_equal_dynamic_programming():
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ([draw.choice("abcdefgh"[:draw.randint(1, 8)]) for _ in range(draw.randint(0, 30))] for _ in range(2))
+        assert churn.common_lines(a, b) == _lcs(a, b)
+    long = [str(i % 997) for i in range(5000)]
+    assert churn.common_lines(long, long[100:] + ["x"]) == 4900
+
+
+def test_line_changes_and_churn(spark, make_files):
+    old = make_files({"p": {"same.py": "a\nb\n", "edit.py": "a\nb\nc\nd\n", "gone.py": "x\ny", "end.py": "a\nb", "blank.py": ""}})
+    new = make_files({"p": {"same.py": "a\nb\n", "edit.py": "a\nc\nnew\nd\n", "come.py": "1\n2\n3", "end.py": "a\nb\n", "blank.py": "z"}})
+    got = {r["path"]: (r["status"], r["added"], r["removed"]) for r in churn.line_changes(old, new).collect()}
+    assert got == {"same.py": ("same", 0, 0), "edit.py": ("changed", 1, 1), "gone.py": ("removed", 0, 2), "come.py": ("added", 3, 0),
+                   "end.py": ("changed", 0, 0), "blank.py": ("changed", 1, 0)}
+    rows = [("p", "a", v, t) for v, t in enumerate(["1\n2", "1\n2\n3", "1\n2\n3", "3\n"])] + [("p", "b", 0, None)]
+    moved = churn.churn(spark.createDataFrame(rows, "project_id string, path string, version int, content string")).collect()
+    assert {r["path"]: (r["versions"], r["added"], r["removed"]) for r in moved} == {"a": (4, 3, 2), "b": (1, 0, 0)}
+    assert churn.line_changes(old.limit(0), new.limit(0)).count() == 0
+
+
+def test_range_trees_are_local_and_order_free(spark):
+    rows = [("hot", f"d{i // 40:03d}/f{i:05d}.py", i % 900) for i in range(1500)] + [("one", "a.py", 1)]
+    listing = spark.createDataFrame(rows, "project_id string, path string, size_bytes long")
+    tree = range_tree.range_tree(listing, 16).cache()
+    roots = {r["project_id"]: r["hash"] for r in tree.filter("root").collect()}
+    again = range_tree.tree_fingerprint(listing.repartition(5, "size_bytes"), 16).collect()
+    assert {r["project_id"]: r["fingerprint"] for r in again} == roots and {r["project_id"]: r["levels"] for r in again}["one"] == 1
+    edited = listing.withColumn("size_bytes", F.when(F.col("path").endswith("f00700.py"), 5000).otherwise(F.col("size_bytes"))).filter("path <> 'd001/f00050.py'")
+    other = range_tree.range_tree(edited, 16)
+    changed = range_tree.changed_ranges(tree, other).collect()
+    assert {(r["first"], r["side"]) for r in changed if r["level"] == 0} == {("d017/f00700.py", "old"), ("d017/f00700.py", "new"), ("d001/f00050.py", "old")}
+    assert len([r for r in changed if r["level"] == 1]) <= 5 and {r["project_id"] for r in changed} == {"hot"}
+    assert range_tree.range_tree(listing.limit(0)).count() == 0
