@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.joins import lookup_join
+from ..operators.joins import fits_broadcast, lookup_join
 from ..session import discard, stored
 
 
@@ -24,13 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges.filter(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
+    # Every table of a round has a row per edge or node at most.
+    small = fits_broadcast(stars)
     before = _mark(stars)
     while before[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = lookup_join(both, least, ["u"], ["v"], "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = lookup_join(both, least, ["u"], ["v"], "inner", small).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = lookup_join(large, least, ["u"], ["v"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = lookup_join(large, least, ["u"], ["v"], "inner", small).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         old, stars = stars, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         discard(old)
         after = _mark(stars)

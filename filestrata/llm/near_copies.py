@@ -12,18 +12,19 @@ of both meet; a centre's text travels once per block of its members. Links are c
 
 A star can miss a link between two members that are both unlike the centre. Within one component further links change nothing, so
 at last, in each bucket whose members are still in several components, the members outside its largest component
-are compared with the members of other components, by signatures of a byte per bin: pair by pair in small buckets, and in blocks
-of bounded size in large ones. A large bucket in which many members are left is dealt anew by a second band first: two similar sets agree in
-several bands, so they still meet, and others part; what moves grows with the members, not with their square.
+are compared with the members of other components, small buckets whole and large ones in blocks of bounded size. What travels
+there is a sample of each set's hashes, the whole set where it is small, and a pair that meets in several buckets is looked at in the first; so
+only pairs that are all but linked leave a block. A large bucket in which many members are left is dealt anew by a second band first: two
+similar sets agree in several bands, so they still meet, and others part; what moves grows with the members, not with their square.
 
-Only ids, signatures and buckets are stored between rounds, as compressed tables that are deleted when the next one stands.
+Only ids, sketches and buckets are stored between rounds, as compressed tables that are deleted when the next one stands.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -37,9 +38,11 @@ SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Bands of each round.
-ROUNDS = (2, 6, 24)
-#: Members of a bucket that are compared pair by pair, and members of a block in larger buckets.
+ROUNDS = (4, 28)
+#: Members of a bucket that is compared whole, and members of a block of larger buckets.
 PAIRWISE, BLOCK = 64, 256
+#: Hashes of a set that its sample holds at most.
+SAMPLE = 512
 #: Standard errors that signatures may agree less than they should.
 ERRORS = 5.0
 
@@ -101,8 +104,17 @@ def promising(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, pe
     return (100 * least >= percent * most) & ((x == y).sum(axis=-1) >= wanted)
 
 
+def sample(hashes: np.ndarray) -> tuple[int, bytes]:
+    """The high halves of a set's hashes; those whose low bits, as many as the first number says, are 0, so that `SAMPLE` are left at most."""
+    level, kept = 0, (hashes >> np.uint64(32)).astype(np.uint32)
+    while len(kept) > SAMPLE:
+        level += 1
+        kept = kept[kept & np.uint32((1 << level) - 1) == 0]
+    return level, kept.tobytes()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """`doc_id, mark, n_shingles, key1, key2, bands, signature`: equal keys mean equal sets; empty sets have no bands.
+    """`doc_id, mark, n_shingles, key1, key2, bands, signature, level, sample`: equal keys mean equal sets; empty sets have no bands.
 
     `mark` is a hash of the text, which tells rows of one id apart. The signature has the low byte of each bin.
     """
@@ -111,15 +123,16 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in frames.slices(batches, "text"):
             sets = shingle_sets(frames.raw(batch.column("text")))
             keys = [[mixed(s ^ salt).sum(dtype=np.uint64).view(np.int64) for s in sets] for salt in _KEY_SALT]
-            rows = [signature(s) if len(s) else None for s in sets]
+            rows, samples = [signature(s) if len(s) else None for s in sets], list(map(sample, sets))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("mark"), frames.longs([len(s) for s in sets]), *map(frames.longs, keys),
                 pa.array([[] if r is None else band_keys(r) for r in rows], pa.list_(pa.int64())),
                 pa.array([b"" if r is None else mixed(r).astype(np.uint8).tobytes() for r in rows], pa.binary()),
-            ], ["doc_id", "mark", "n_shingles", "key1", "key2", "bands", "signature"])
+                pa.array([x for x, _ in samples], pa.int32()), pa.array([x for _, x in samples], pa.binary()),
+            ], ["doc_id", "mark", "n_shingles", "key1", "key2", "bands", "signature", "level", "sample"])
 
     return frames.texts(docs, _mark()).mapInArrow(
-        run, "doc_id long, mark long, n_shingles long, key1 long, key2 long, bands array<long>, signature binary")
+        run, "doc_id long, mark long, n_shingles long, key1 long, key2 long, bands array<long>, signature binary, level int, sample binary")
 
 
 def _mark() -> Column:
@@ -150,18 +163,19 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
                         found.append((of[i], node[i]))
             yield pa.RecordBatch.from_arrays([frames.longs([x[i] for x in found]) for i in (0, 1)], ["a", "b"])
 
+    # All that is made of few pairs is small too.
+    small = fits_broadcast(pairs)
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = lookup_join(pairs, counts, ["a"], ["b"], "inner").select(
+    dealt = lookup_join(pairs, counts, ["a"], ["b"], "inner", small).select(
         "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
     wanted = dealt.select("a", "block", F.col("b").alias("node"), F.lit(1).alias("role")).unionByName(
         dealt.select("a", "block").distinct().select("a", "block", F.col("a").alias("node"), F.lit(0).alias("role")))
-    named = wanted.join(nodes.select("node", "doc_id", "mark"), "node")
-    table = stored(named)
-    texts = frames.texts(docs, _mark()).join(_if_small(table), ["doc_id", "mark"])
+    wanted = stored(nodes.select("node", "doc_id", "mark").join(F.broadcast(wanted) if small else wanted, "node"))
+    texts = frames.texts(docs, _mark()).join(F.broadcast(wanted) if small else wanted, ["doc_id", "mark"])
     # Rows that repeat an id and text give the same link again.
     in_blocks = texts.select("a", "block", "node", "role", "text").repartition("a", "block").sortWithinPartitions("a", "block", "role")
-    links = stored(in_blocks.mapInArrow(run, "a long, b long").distinct())
-    discard(table)
+    links = stored(in_blocks.mapInArrow(run, "a long, b long"))
+    discard(wanted)
     return links
 
 
@@ -176,9 +190,13 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in "ab"], ["a", "b"])
 
     a, b = (nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab")
-    # One centre may be in very many pairs.
-    centres = a.join(pairs.select("a").distinct(), "a", "left_semi")
-    met = lookup_join(pairs.join(b, "b"), centres, ["a"], ["b"], "inner")
+    if fits_broadcast(pairs):
+        # Few pairs meet the signatures where these are read, for each side by itself.
+        met = a.join(F.broadcast(pairs), "a").join(b.join(F.broadcast(pairs), "b"), ["a", "b"])
+    else:
+        # One centre may be in very many pairs.
+        centres = a.join(pairs.select("a").distinct(), "a", "left_semi")
+        met = lookup_join(pairs.join(b, "b"), centres, ["a"], ["b"], "inner")
     met = met.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return met.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
 
@@ -197,97 +215,147 @@ def _rooted(nodes: DataFrame, roots: DataFrame | None, first: int, bands: int) -
     return kept.select("node", "root", F.posexplode("bands").alias("band", "bucket"))
 
 
-def _stars(rooted: DataFrame) -> DataFrame:
-    """Pairs of each bucket's centre, its least node, with its members in other components."""
+def _spans(rooted: DataFrame) -> DataFrame:
+    """`bucket, a, of` of the buckets whose members are in several components: the centre, which is the least node, and its root."""
     spans = rooted.groupBy("bucket").agg(F.min("node").alias("a"), F.min_by("root", "node").alias("of"), F.min("root").alias("low"), F.max("root").alias("high"))
-    spans = stored(spans.filter("low <> high").select("bucket", "a", "of"))
+    return stored(spans.filter("low <> high").select("bucket", "a", "of"))
+
+
+def _stars(rooted: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pairs of each bucket's centre with its members in other components."""
     met = lookup_join(rooted, spans, ["bucket"], ["node"], "inner").filter("root <> of")
-    out = stored(met.select("a", F.col("node").alias("b")).distinct())
-    discard(spans)
-    return out
+    return stored(met.select("a", F.col("node").alias("b")).distinct())
 
 
 def _unlike(rooted: DataFrame) -> DataFrame:
     """Members of buckets that span components, with the bucket's size, its largest component and the rest's size."""
     shares = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    spans = (
-        shares.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
-        .filter("parts > 1")
-        .select("bucket", "size", F.col("main.root").alias("main"), (F.col("size") - F.col("main.n")).alias("rest"))
-    )
-    spans = stored(spans)
+    spans = stored(
+        shares.groupBy("bucket").agg(F.sum("n").alias("size"), F.max_by("root", "n").alias("main"), F.max("n").alias("most"), F.count("*").alias("parts"))
+        .filter("parts > 1").select("bucket", "size", "main", (F.col("size") - F.col("most")).alias("rest")))
     out = stored(lookup_join(rooted, spans, ["bucket"], ["node"], "inner"))
     discard(spans)
     return out
 
 
-def _small_pairs(small: DataFrame) -> DataFrame:
-    """Pairs across components in buckets of at most `PAIRWISE` members."""
-    other = small.select("bucket", F.col("node").alias("other"), F.col("root").alias("root_other"))
-    met = small.filter("root <> main").join(other, "bucket").filter("root <> root_other AND (root_other = main OR node < other)")
-    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
-def _block_pairs(large: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in larger buckets whose signatures allow a link, blocks against blocks."""
-    named = large.join(nodes.select("node", "n_shingles", "signature"), "node").select(
-        "bucket", "node", "root", "main", "n_shingles", "signature",
-        F.ceil(F.col("rest") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"))
-    block = F.xxhash64("node")
-    columns = ["bucket", "lb", "rb", "node", "root", "main", "n_shingles", "signature"]
-    left = named.filter("root <> main").withColumn("lb", F.pmod(block, F.col("lefts")).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).select(*columns)
-    right = named.withColumn("rb", F.pmod(block, F.col("rights")).cast("int")).withColumn(
-        "lb", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).select(*columns)
-
-    def compare(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        if len(xs) and len(ys):
-            x, y = _matrix(xs["signature"].tolist()), _matrix(ys["signature"].tolist())
-            n_y, ids, roots = ys["n_shingles"].to_numpy(), ys["node"].to_numpy(), ys["root"].to_numpy()
-            of_main = roots == ys["main"].to_numpy()
-            for i, (node, root, n) in enumerate(zip(xs["node"], xs["root"], xs["n_shingles"])):
-                fit = promising(x[i], y, np.full(len(n_y), n), n_y, percent) & (roots != root) & (of_main | (ids > node))
-                found += [(min(node, other), max(node, other)) for other in ids[fit]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    keys = ["bucket", "lb", "rb"]
-    right = right.toDF(*right.columns)  # columns of its own, as both sides come from one frame
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long").distinct()
+def _dealt_anew(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of large buckets by their bucket and each later band: `band, second, bucket, node, root`."""
+    later = crowded.select("node", "root", F.col("band").alias("first"), F.col("bucket").alias("crowd")).join(nodes.select("node", "bands"), "node").select(
+        "node", "root", "crowd", "first", F.posexplode(F.expr("slice(bands, first + 2, 64)")).alias("after", "later"))
+    return later.select(F.col("first").alias("band"), (F.col("first") + 1 + F.col("after")).alias("second"),
+                        F.xxhash64("crowd", "later").alias("bucket"), "node", "root")
+
+
+def _in_blocks(unlike: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members with their samples, dealt into the blocks in which they meet; `side` tells whether they ask (1), are asked (2) or both (3)."""
+    whole = F.col("size") <= PAIRWISE
+    cut = unlike.withColumns({
+        "lefts": F.when(whole, 1).otherwise(F.ceil(F.col("rest") / BLOCK)).cast("int"),
+        "rights": F.when(whole, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int"), "hash": F.xxhash64("node")})
+    columns = ["bucket", "lb", "rb", "band", "second", "node", "root", "main", "side"]
+    small = cut.filter(whole).withColumns({"lb": F.lit(0), "rb": F.lit(0), "side": F.when(F.col("root") == F.col("main"), 2).otherwise(3)}).select(*columns)
+    left = cut.filter(~whole & (F.col("root") != F.col("main"))).withColumns({
+        "lb": F.pmod("hash", F.col("lefts")).cast("int"), "rb": F.explode(F.sequence(F.lit(0), F.col("rights") - 1)), "side": F.lit(1)}).select(*columns)
+    right = cut.filter(~whole).withColumns({
+        "rb": F.pmod("hash", F.col("rights")).cast("int"), "lb": F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)), "side": F.lit(2)}).select(*columns)
+    dealt = small.unionByName(left).unionByName(right)
+    return dealt.join(nodes.select("node", "n_shingles", "bands", "level", "sample"), "node")
+
+
+class _Group:
+    """The members that meet in one block."""
+
+    def __init__(self, rows: list[dict], percent: int):
+        self.rows, self.percent = rows, percent
+        asked = [r for r in rows if r["side"] & 2]
+        self.nodes, self.roots, self.n, self.levels = (np.array([r[c] for r in asked]) for c in ("node", "root", "n_shingles", "level"))
+        self.bands = np.array([r["bands"] for r in asked], dtype=np.int64).reshape(len(asked), BANDS)
+        self.samples = [np.frombuffer(r["sample"], dtype=np.uint32) for r in asked]
+
+    def pairs(self) -> list[tuple[int, int]]:
+        if not len(self.nodes):
+            return []
+        return [(min(row["node"], other), max(row["node"], other))
+                for row in self.rows if row["side"] & 1 for other in self.nodes[self._fit(row)].tolist()]
+
+    def _fit(self, row: dict) -> np.ndarray:
+        """The members that a row may be linked with: of other components, similar in size, and met here first."""
+        fit = (self.roots != row["root"]) & ((self.roots == row["main"]) | (self.nodes > row["node"]))
+        fit &= 100 * np.minimum(self.n, row["n_shingles"]) >= self.percent * np.maximum(self.n, row["n_shingles"])
+        at = np.flatnonzero(fit)
+        if len(at):
+            same = self.bands[at] == np.array(row["bands"], dtype=np.int64)
+            first = same.argmax(axis=1) == row["band"]
+            if row["second"] >= 0:
+                same[:, row["band"]] = False
+                first &= same.argmax(axis=1) == row["second"]
+            at = at[first]
+        return at[self._similar(row, at)] if len(at) else at
+
+    def _similar(self, row: dict, at: np.ndarray) -> np.ndarray:
+        mine = np.frombuffer(row["sample"], dtype=np.uint32)
+        sizes = np.array([len(self.samples[i]) for i in at])
+        theirs = np.concatenate([self.samples[i] for i in at])
+        level = np.maximum(self.levels[at], row["level"])
+        mask = (np.left_shift(1, level) - 1).astype(np.uint32)
+        counted = theirs & np.repeat(mask, sizes) == 0
+        hit = counted & (mine[np.minimum(np.searchsorted(mine, theirs), max(len(mine) - 1, 0))] == theirs if len(mine) else False)
+        # Samples hold one hash at least where sets are small; a run may be empty, which reduceat cannot add.
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        both, n_theirs = (np.diff(np.concatenate(([0], np.cumsum(x)))[bounds]) for x in (hit, counted))
+        n_mine = np.array([np.count_nonzero(mine & m == 0) for m in np.unique(mask)])[np.searchsorted(np.unique(mask), mask)]
+        share = self.percent / 100
+        slack = np.where(level == 0, 0.02, ERRORS * np.sqrt(share * (1 - share) / np.maximum(np.minimum(n_mine, n_theirs), 1)))
+        return both >= (share - slack) * (n_mine + n_theirs - both)
+
+
+def _meeting(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (`a`, `b`) across components whose samples all but link them; a block is held by one task at a time, and is bounded."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                of = row["bucket"], row["lb"], row["rb"], row["second"]
+                if of != key:
+                    found += _Group(rows, percent).pairs()
+                    key, rows = of, []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([frames.longs([x[i] for x in found]) for i in (0, 1)], ["a", "b"])
+        found = _Group(rows, percent).pairs()
+        yield pa.RecordBatch.from_arrays([frames.longs([x[i] for x in found]) for i in (0, 1)], ["a", "b"])
 
-def _dealt_anew(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of large buckets by their bucket and each later band: `band, bucket, node, root`.
+    keys = ["bucket", "lb", "rb", "second"]
+    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _leftovers(nodes: DataFrame, roots: DataFrame | None, spans: list[DataFrame], percent: int) -> DataFrame:
+    """Pairs across components that share a bucket and may be linked; only buckets that spanned components before can do so now.
 
     Of the bands that two sets share, the first one's bucket is either not crowded or dealt anew with the others.
     """
-    bands = nodes.select("node", "bands")
-    later = crowded.select("node", "root", "band", F.col("bucket").alias("crowd")).join(bands, "node").select(
-        "node", "root", "crowd", F.posexplode(F.expr("slice(bands, band + 2, 64)")).alias("band", "bucket"))
-    return later.select("band", F.xxhash64("crowd", "bucket").alias("bucket"), "node", "root")
-
-
-def _leftovers(nodes: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs across components that share a bucket and may be linked."""
-    unlike = _unlike(_rooted(nodes, roots, 0, BANDS))
-    few = (F.col("size") > PAIRWISE) & (F.col("rest") <= BLOCK)
-    again = _unlike(_dealt_anew(unlike.filter((F.col("size") > PAIRWISE) & ~few), nodes))
-    small = [_small_pairs(x.filter(F.col("size") <= PAIRWISE)) for x in (unlike, again)]
-    large = [_block_pairs(unlike.filter(few), nodes, percent), _block_pairs(again.filter(F.col("size") > PAIRWISE), nodes, percent)]
-    close = stored(small[0].unionByName(small[1]).distinct())
-    out = stored(_likely(close, nodes, percent).unionByName(large[0]).unionByName(large[1]).distinct())
-    discard(unlike, again, close)
+    buckets = reduce(DataFrame.unionByName, [x.select("bucket") for x in spans])
+    rooted = stored(_rooted(nodes, roots, 0, BANDS).join(_if_small(buckets), "bucket", "left_semi").withColumn("second", F.lit(-1)))
+    unlike = _unlike(rooted)
+    crowded = (F.col("size") > PAIRWISE) & (F.col("rest") > BLOCK)
+    again = _unlike(_dealt_anew(unlike.filter(crowded), nodes))
+    blocks = _in_blocks(unlike.filter(~crowded), nodes).unionByName(_in_blocks(again, nodes))
+    out = stored(_meeting(blocks, percent).distinct())
+    discard(rooted, unlike, again)
     return out
 
 
 def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """`node, root` of the classes that have links; `nodes` has a sketch of each class, and `docs` the texts by id."""
-    links, roots, first = None, None, 0
+    roots, first, spans = None, 0, []
     for bands in (*ROUNDS, None):
         if bands is None:
-            pairs = _leftovers(nodes, roots, percent)
+            pairs = _leftovers(nodes, roots, spans, percent)
         else:
-            proposed = _stars(_rooted(nodes, roots, first, bands))
+            rooted = _rooted(nodes, roots, first, bands)
+            spans.append(_spans(rooted))
+            proposed = _stars(rooted, spans[-1])
             pairs, first = stored(_likely(proposed, nodes, percent)), first + bands
             discard(proposed)
         if pairs.take(1):
@@ -297,6 +365,7 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             old, roots = roots, components(edges)
             discard(found, *([] if old is None else [old]))
         discard(pairs)
+    discard(*spans)
     return roots
 
 
@@ -319,7 +388,7 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     classes = stored(filled.groupBy(*keys).agg(F.min(F.struct("doc_id", "row")).alias("least")).select(
         *keys, F.col("least.row").alias("node"), F.col("least.doc_id").alias("first_id")))
     nodes = stored(filled.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi").select(
-        "node", "doc_id", "mark", "n_shingles", "bands", "signature"))
+        "node", "doc_id", "mark", "n_shingles", "bands", "signature", "level", "sample"))
     roots = linked(nodes, docs, percent)
     if roots is None:
         component = classes.select(*keys, F.col("first_id").alias("component_id"), F.col("node").alias("root"))
