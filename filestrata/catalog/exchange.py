@@ -1,15 +1,17 @@
 """Registered sources, sinks, recovery, packing and composed exports (S and K rows)."""
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..operators import packing, symbols
-from ..plans import bundle, capsule, corpus
+from ..plans import bundle, capsule, corpus, exports
 from ..session import checkpoint_folder
 from ..sources import documents, dumps, recovery
+from ..sources.listing import list_tree, read_listed
 from ..sources.pyfacts import python_facts
 from ..sources.tables import document_files, part_sources
 from ..sources.tree import read_tree
@@ -37,21 +39,50 @@ def _tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *KEY, "size_bytes", "read_status", F.sha2("content_bytes", 256).alias("sha256"))
 
 
-def _tree_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as text files by Spark, then read back from the tree and counted."""
-    import uuid
-
+def _written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Documents written as text files by Spark, a folder each source."""
     folder = f"{checkpoint_folder(spark)}/tree-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs.select("source", text.unify_newlines(F.col("text")).alias("text")).write.partitionBy("source").text(folder)
-    tree = read_tree(spark, path=folder.removeprefix("file:")).filter(F.col("read_status") == "ok")
+    return folder.removeprefix("file:")
+
+
+def _tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of some folders of a tree, from names and sizes alone."""
+    found = list_tree(spark, path=_written_tree(spark, sf_dir)).filter(F.col("path").startswith("source=src1") & (F.col("size_bytes") > 0))
+    return found.groupBy(F.regexp_extract("path", r"^source=([^/]+)/", 1).alias("project_id")).agg(
+        F.sum("size_bytes").alias("size_bytes"), F.count_if(F.col("read_status") != "listed").alias("n_read"))
+
+
+def _listed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of the files that a listing's filter left."""
+    root = _written_tree(spark, sf_dir)
+    listing = list_tree(spark, roots=f"t={root}").filter(F.col("path").startswith("source=src2"))
+    return read_listed(listing, {"t": root}).groupBy(F.regexp_extract("path", r"^source=([^/]+)/", 1).alias("project_id")).agg(
+        F.sum("words").alias("words"), F.sum("size_bytes").alias("size_bytes"))
+
+
+def _tree_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files by Spark, then read back from the tree and counted."""
+    tree = read_tree(spark, path=_written_tree(spark, sf_dir)).filter(F.col("read_status") == "ok")
     source = F.regexp_extract("path", r"^source=([^/]+)/", 1)
     return tree.groupBy(source.alias("project_id")).agg(
         F.sum("words").alias("words"), F.sum("size_bytes").alias("size_bytes"),
         (F.sum("lines") - F.count("*")).alias("line_feeds"))
 
 
+_BYTES = "CAST(sum(strlen(replace(text, chr(13) || chr(10), chr(10))) + 1) AS BIGINT) AS size_bytes"
+
 _add("s1_tree_scan", _tree_scan, None)
+_add(
+    "s1_tree_listing", _tree_listing,
+    f"SELECT source AS project_id, {_BYTES}, CAST(0 AS BIGINT) AS n_read FROM documents WHERE source LIKE 'src1%' GROUP BY source",
+)
+_add(
+    "s2_listed_read", _listed_read,
+    rf"""SELECT source AS project_id, CAST(sum(len(regexp_extract_all(text, '[^{WS}]+'))) AS BIGINT) AS words, {_BYTES}
+        FROM documents WHERE source LIKE 'src2%' GROUP BY source""",
+)
 _add(
     "s2_tree_read", _tree_read,
     rf"""SELECT source AS project_id, CAST(sum(len(regexp_extract_all(text, '[^{WS}]+'))) AS BIGINT) AS words,
@@ -477,3 +508,44 @@ _add(
     lambda s, d: corpus.corpus_document(_analysis(s, d)[1])[0].select("project_id", "rank", "word"),
     f"{_CORPUS} SELECT project_id, rank, word FROM dictionary",
 )
+
+# --- compressed exports out and back ---------------------------------------------------
+
+
+def _written(spark: SparkSession, parts: DataFrame) -> DataFrame:
+    folder = f"{checkpoint_folder(spark)}/export-{uuid.uuid4().hex}"
+    dumps.write_dump(parts, folder)
+    return documents.dump_lines(spark, folder)
+
+
+def _tds_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.tds_texts(_written(spark, exports.tds_document(_analysis(spark, sf_dir)[1])))
+
+
+_add(
+    "s16_tds_decoded", _tds_round_trip,
+    f"{_SEGMENTS} SELECT project_id, path, content FROM segments",
+)
+
+
+def _capsule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, exports.capsule_document(_compact_capsule(spark, sf_dir)))
+
+
+def _capsule_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exports.capsule_sections(_capsule_lines(spark, sf_dir))
+    spelt = F.col("data").cast("string").rlike("§[0-9]")
+    return found.select(*KEY, "section_id", F.sha2("data", 256).alias("raw_sha256"), "sha256", (F.col("intact") | spelt).alias("decoded"))
+
+
+_add(
+    "k3_capsule_decoded", _capsule_decoded,
+    f"""{_CAPSULE_FILES} SELECT n.project_id, n.path, printf('sec-%04d', CAST(number AS INTEGER)) AS section_id, sha256(raw_text) AS raw_sha256,
+        n.hash AS sha256, true AS decoded FROM numbered n JOIN files f ON f.project_id = n.project_id AND f.path = n.path""",
+)
+_add(
+    "k3_capsule_tree", lambda s, d: exports.capsule_tree(_capsule_lines(s, d)).select("project_id", "level", F.col("index").alias("idx"), "hash"),
+    f"""{_TREE.replace(_SECTIONS.replace('WITH stored', 'WITH RECURSIVE stored', 1),
+                       _CAPSULE_FILES.replace('WITH stored', 'WITH RECURSIVE stored', 1))}
+        SELECT project_id, CAST(level AS INTEGER) AS level, CAST(idx AS BIGINT) AS idx, hash FROM levels WHERE level > 0""",
+)

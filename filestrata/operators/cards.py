@@ -46,9 +46,12 @@ def _parsed_columns(parts: frozenset[str]) -> list[Column]:
 def file_cards(files: DataFrame, facts: DataFrame, parts: frozenset[str] = PARTS) -> DataFrame:
     """One row per file, joined from its text, its facts and the project's module set.
 
-    Parsed columns are NULL for files that are not Python or do not parse.
+    Parsed columns are NULL for files that are not Python or do not parse. Every file that is not media is read as text, whatever its
+    suffix; bytes that are no text become replacement characters.
     """
     path, content = F.col("path"), F.col("content")
+    if "content_bytes" in files.columns:
+        content = F.coalesce(content, text.unify_newlines(F.make_valid_utf8(F.col("content_bytes").cast("string"))))
     seen = F.when(paths.has_deep_text(path), content)
     parsed = facts.filter("facts.parse_ok").select(*KEY, F.lit(True).alias("parse_ok"), *_parsed_columns(parts))
     cards = files.select(

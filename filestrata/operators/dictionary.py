@@ -88,3 +88,12 @@ def substitute(texts: DataFrame, dictionary: DataFrame, spread_by: list[str] = (
         "tokens_used": F.when(known, F.array_sort(F.array_distinct(met))).otherwise(F.array().cast("array<string>")),
         "n_replaced": F.when(known, F.size(met)).otherwise(0).cast("long"),
     }).drop("_shelves", "_tokens")
+
+
+def restored(texts: DataFrame, dictionary: DataFrame, spread_by: list[str] = ("path",)) -> DataFrame:
+    """Put the words back into ``payload``; adds ``content``. The dictionary is (project_id, token, word)."""
+    shelves = frozen(_shelves(dictionary.select("project_id", F.col("token").alias("word"), F.col("word").alias("token"))))
+    runs = F.regexp_extract_all("payload", F.lit("§[0-9]+|[^§]+|§"), F.lit(0))
+    joined = lookup_join(texts, shelves, ["project_id"], ["project_id", *spread_by])
+    whole = F.array_join(F.transform(runs, lambda run: F.coalesce(_token_of(run), run)), "")
+    return joined.withColumn("content", F.when(F.col("_shelves").isNotNull(), whole).otherwise(F.col("payload"))).drop("_shelves")

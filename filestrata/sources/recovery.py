@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import paths, text
 
@@ -80,6 +81,9 @@ def _blocks(pattern: str) -> Column:
     return F.arrays_zip(path.alias("path"), content.alias("content"))
 
 
+_BLOCK_ROWS = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.StringType())]))
+
+
 class _BlockReader(HTMLParser):
     """Collects (path, content): a ``code`` inside ``h3``, then the ``code`` of the next ``pre``."""
 
@@ -159,14 +163,24 @@ def recovered_files(found: DataFrame, dialect: str) -> DataFrame:
 
 
 def recovered(dumps: DataFrame) -> DataFrame:
-    """Files of mixed dumps: each document goes to the reader of its detected format."""
+    """Files of mixed dumps: each document goes to the reader of its detected format, in one pass over the documents."""
     marked = dumps.withColumn("format", detected_format(F.col("file_name"), F.col("text")))
-
-    def of(name: str) -> DataFrame:
-        return marked.filter(F.col("format") == name)
-
-    return (
-        recovered_files(from_json(of(JSON_FORMAT)), "json")
-        .unionByName(recovered_files(from_markdown(of("full-content-markdown")), "full"))
-        .unionByName(recovered_files(from_html(of("legacy-html")), "full"))
-    )
+    document, form = F.col("text"), F.col("format")
+
+    @F.pandas_udf(_BLOCK_ROWS)
+    def html_blocks(texts: pd.Series) -> pd.Series:
+        return texts.map(_read_html, na_action="ignore")
+
+    # Each reader sees the documents of its own format only.
+    entries = F.from_json(F.when(form == JSON_FORMAT, document), _FILES_IN_JSON)["files"]
+    from_entries = F.transform(
+        F.filter(entries, lambda f: F.coalesce(f["has_content"], F.lit(False)) & (f["content"] != "")),
+        lambda f: F.struct(f["path"].alias("path"), f["content"].alias("content")))
+    titled = (form == "full-content-markdown") & document.rlike(r"(?dm)^# Project Structure: .+$")
+    from_blocks = F.when(titled, _blocks(STRICT_BLOCK))
+    in_html = F.when((form == "legacy-html") & document.rlike("<title>Project Structure: ([^<]+)</title>"), document)
+    read = marked.select("dump_id", "format", "text", html_blocks(in_html).alias("html"))
+    found = F.coalesce(from_entries, from_blocks, F.col("html"))
+    files = read.select("dump_id", "format", F.explode(found).alias("f")).select("dump_id", "format", "f.path", "f.content")
+    closed = F.when(F.col("format") == JSON_FORMAT, F.col("content")).otherwise(F.concat(text.rstrip(F.col("content")), F.lit("\n")))
+    return files.filter(safe_path(F.col("path"))).select("dump_id", "path", closed.alias("content"))

@@ -60,6 +60,34 @@ def test_unreadable_root_is_an_error(spark, tmp_path):
         tree.read_tree(spark, path=str(tmp_path / "none")).collect()
 
 
+def test_listing_opens_nothing_and_prunes(spark, tmp_path):
+    from filestrata.sources.listing import ListingReader, list_tree, read_listed
+
+    for i in range(25):
+        (tmp_path / "flat").mkdir(exist_ok=True)
+        (tmp_path / "flat" / f"f{i:02d}.py").write_text("x = 1\n" * i)
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "a.md").write_text("# A\n")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "x").write_text("x")
+    os.mkfifo(tmp_path / "flat" / "pipe.py")  # reading it would wait for ever
+    found = list_tree(spark, roots=f"p={tmp_path}", share="4")
+    rows = {r["path"]: r["size_bytes"] for r in found.collect()}
+    assert rows == {**{f"flat/f{i:02d}.py": 6 * i for i in range(25)}, "flat/pipe.py": 0, "deep/er/a.md": 4}
+    assert found.rdd.getNumPartitions() >= 7
+    some = found.filter("path LIKE 'flat/f1%' AND size_bytes > 90 AND project_id = 'p' AND path <> 'flat/f18.py'")
+    assert sorted(r["path"] for r in some.collect()) == ["flat/f16.py", "flat/f17.py", "flat/f19.py"]
+    files = read_listed(some, {"p": str(tmp_path)}, with_bytes=True).collect()
+    assert {r["path"]: (r["lines"], len(r["content_bytes"])) for r in files} == {f"flat/f{i}.py": (i + 1, 6 * i) for i in (16, 17, 19)}
+    assert found.filter("project_id = 'other'").count() == 0
+    reader = ListingReader({"path": str(tmp_path)})
+    from pyspark.sql.datasource import StringStartsWith
+    assert list(reader.pushFilters([StringStartsWith(("path",), "deep/")])) == []
+    assert {os.path.basename(p.folder) for p in reader.partitions()} == {tmp_path.name, "deep", "er"}
+    with pytest.raises(Exception, match="none"):
+        list_tree(spark, path=str(tmp_path / "none")).collect()
+
+
 def test_large_source_keeps_its_symbols(spark, make_files):
     from filestrata.sources.pyfacts import python_facts
 
