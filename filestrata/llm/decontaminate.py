@@ -16,8 +16,8 @@ all of the item is there. Items of fewer than five words must be there whole. It
 their rarest words led to must be found in a run of about their length, as a window holds many short subsequences by chance.
 
 Items are taken in blocks of `ITEMS`, one pass over the documents for each, so that what tasks hold is bounded. Null and empty
-documents are clean; null and empty items match nothing. Rows of documents come back as often as they went in, if
-the benchmark is one block, and else once for each id.
+documents are clean; null and empty items match nothing. Rows of documents come back as often as they went in; each is
+judged by its own text, whatever its id.
 """
 from __future__ import annotations
 
@@ -25,11 +25,12 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import frames
 from .words import Words
@@ -352,7 +353,10 @@ class Index:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`doc_id, contaminated, items, similarity` of each document: the items found in it and the best share of one."""
+    """`doc_id, contaminated, items, similarity, mark` of each document: the items found in it and the best share of one.
+
+    `mark` is a hash of the text, which tells rows of one id apart.
+    """
     frequency, n_docs = document_frequencies(docs)
     idf = np.log((n_docs + 1) / (frequency + 1)) + 0.01
     passages = benchmark.select(F.coalesce("text", F.lit("")).alias("text"))
@@ -362,31 +366,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = []
     for block in range(blocks):
         part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else benchmark
-        index = docs.sparkSession.sparkContext.broadcast(Index.of(read_items(part), idf, space))
+        index = frames.shared(docs.sparkSession, f"benchmark {block}", Index.of(read_items(part), idf, space))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in frames.slices(batches, "text", _SLICE):
-                found = index.value.leaks(_words(batch.column("text").to_pylist()), batch.num_rows)
+                found = index().leaks(_words(batch.column("text").to_pylist()), batch.num_rows)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), pa.array([sorted(x for x in f if x is not None) for f in found], pa.list_(pa.int64())),
+                    batch.column("doc_id"), batch.column("mark"), pa.array([sorted(x for x in f if x is not None) for f in found], pa.list_(pa.int64())),
                     pa.array([max(f.values(), default=0.0) for f in found], pa.float64()),
-                ], ["doc_id", "items", "similarity"])
+                ], ["doc_id", "mark", "items", "similarity"])
 
-        parts.append(frames.texts(docs).mapInArrow(run, "doc_id long, items array<long>, similarity double"))
+        parts.append(frames.texts(docs, _mark()).mapInArrow(run, "doc_id long, mark long, items array<long>, similarity double"))
     found = parts[0]
     if blocks > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("items")).alias("items"), F.max("similarity").alias("similarity"))
-    return found.select("doc_id", (F.col("similarity") > 0).alias("contaminated"), "items", "similarity")
+        # Rows of one id and text hold the same items; each block's answer for them is taken once.
+        keys = F.struct("doc_id", "mark").alias("key")
+        more = [part.filter("similarity > 0").select(keys, "items", "similarity").dropDuplicates(["key"]) for part in parts[1:]]
+        others = reduce(DataFrame.unionByName, more).groupBy("key").agg(
+            F.flatten(F.collect_list("items")).alias("more"), F.max("similarity").alias("best"))
+        none = F.array().cast("array<long>")
+        found = found.withColumn("key", keys).join(others, "key", "left").select(
+            "doc_id", "mark", F.concat("items", F.coalesce("more", none)).alias("items"), F.greatest("similarity", F.coalesce("best", F.lit(0.0))).alias("similarity"))
+    return found.select("doc_id", (F.col("similarity") > 0).alias("contaminated"), "items", "similarity", "mark")
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document holds."""
-    return contamination(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "benchmark"))
+    return contamination(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "benchmark")).drop("mark")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of `docs` that hold no item."""
-    found = contamination(docs, frames.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of `docs` that hold no item.
+
+    Null and empty texts stay. Rows with a null id, and rows that repeat an id, are judged by their own text. An empty table stays
+    empty, and so does one met with an empty benchmark as it is. All columns come back as they are.
+    """
+    found = contamination(docs, frames.table(spark, sf_dir, "benchmark")).filter("contaminated")
+    leaks = found.select(F.col("doc_id").alias("_leak_id"), F.col("mark").alias("_leak_mark")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_leak_mark"))
+    return docs.join(leaks, same, "left_anti")

@@ -3,12 +3,15 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import numpy as np
 
 # Element names of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 RAW = {"script", "style", "textarea", "title", "template", "noscript", "iframe", "svg", "select", "object", "video", "audio", "canvas"}
+#: Those of them whose text ends only at their end tag, or at the page's end.
+RAW_TEXT = {"script", "style", "textarea", "title"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
           "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -57,6 +60,16 @@ class Page:
         parts: list[str] = []
         linked: list[int] = [0]
         in_link = 0
+        # Where in the stack each name is open, and each block; and names whose end tag does not come any more.
+        open_at: dict[str, list[int]] = {}
+        blocks: list[int] = [0]
+        endless: set[str] = set()
+
+        def push(name: str, node: int) -> None:
+            open_at.setdefault(name, []).append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
+            stack.append((name, node))
 
         def flush() -> None:
             if parts:
@@ -72,14 +85,18 @@ class Page:
             if any(name not in INLINE for name, _ in stack[n:]):
                 flush()
             in_link -= sum(name == "a" for name, _ in stack[n:])
-            del stack[n:]
+            while len(stack) > n:
+                name, _ = stack.pop()
+                open_at[name].pop()
+                if name not in INLINE:
+                    blocks.pop()
+
+        def last(names: set[str]) -> int:
+            """Where the innermost open element of these names is, or 0."""
+            return max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
 
-        at, size, skipped = 0, len(source), None
+        at, size = 0, len(source)
         while at < size:
-            if skipped:
-                close = re.compile(rf"</{re.escape(skipped)}(?=[\s/>]|\Z)", re.I).search(source, at)
-                at, skipped = (close.start() if close else size), None
-                continue
             found = _TOKEN.match(source, at)
             at = found.end()
             name = found[2] or found[5]
@@ -93,8 +110,8 @@ class Page:
             name, closing = name.lower(), found[1] or found[4]
             attributes = found[3] or found[6] or ""
             if closing:
-                where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), None)
-                if where is None or name in INLINE and any(x not in INLINE for x, _ in stack[where + 1:]):
+                where = last({name})
+                if not where or name in INLINE and blocks[-1] > where:
                     continue
                 pop(where)
             elif name in VOID:
@@ -102,25 +119,31 @@ class Page:
                     parts.append(" ")
             elif name in RAW:
                 parts.append(" ")
-                skipped = None if attributes.endswith("/") else name
+                if not attributes.endswith("/") and name not in endless:
+                    close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(source, at)
+                    if close:
+                        at = close.start()
+                    elif name in RAW_TEXT:
+                        at = size
+                    else:  # never closed: what follows is not its content alone
+                        endless.add(name)
             elif name in INLINE:
                 self.inline[stack[-1][1]] += 1
                 if not attributes.endswith("/"):
-                    stack.append((name, stack[-1][1]))
+                    push(name, stack[-1][1])
                     in_link += name == "a"
             else:
                 flush()
                 if name in CLOSES_P:
-                    where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in CLOSES_P | {"td", "th", "li", "body"}), None)
-                    if where is not None and stack[where][0] == "p":
+                    where = last(CLOSES_P | {"td", "th", "li", "body"})
+                    if where and stack[where][0] == "p":
                         pop(where)
                 if name in SAME_LEVEL:
-                    stop = {"ul", "ol", "dl", "table", "select"}
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in stop:
-                            break
-                        if stack[i][0] in SAME_LEVEL[name]:
-                            pop(i)
+                    stop = last({"ul", "ol", "dl", "table", "select"})
+                    above = [places[bisect_right(places, stop)] for x in SAME_LEVEL[name]
+                             if (places := open_at.get(x)) and places[-1] > stop]
+                    if above:
+                        pop(min(above))
                 flush()
                 groups, mark = [], ""
                 for attribute in _ATTRIBUTE.finditer(attributes):
@@ -136,7 +159,7 @@ class Page:
                 self.marks.append(mark)
                 self.inline.append(0)
                 if not attributes.endswith("/"):
-                    stack.append((name, len(self.tags) - 1))
+                    push(name, len(self.tags) - 1)
         flush()
 
     def features(self) -> np.ndarray:

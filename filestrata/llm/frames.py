@@ -1,12 +1,15 @@
 """Reading the tables, and walking Arrow batches in slices of bounded size."""
 from __future__ import annotations
 
+import pickle
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text that a task holds unpacked at a time.
@@ -56,3 +59,19 @@ def kept(name: str, make: Callable[[], object]):
 
 def longs(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64))
+
+
+def shared(spark: SparkSession, name: str, value: object) -> Callable[[], object]:
+    """Broadcast a value of the package's classes to workers that may not have the package; call the result there to get it.
+
+    The classes travel with the value. A worker keeps the newest value of each name.
+    """
+    held, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get() -> object:
+        store = vars(sys).setdefault("_filestrata_kept", {})
+        if store.get(f"shared {name}", ("",))[0] != key:
+            store[f"shared {name}"] = key, pickle.loads(held.value)
+        return store[f"shared {name}"][1]
+
+    return get

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,9 @@ def node_weights(own: np.ndarray) -> np.ndarray:
     return 0.3 + np.log1p(own)
 
 
+@cache
 def trained(pages: int = TRAINING_PAGES, seed: int = 7) -> boosting.Trees:
+    """The model, fitted once a driver."""
     draw = random.Random(seed)
     drawn = [Page(drawn_page(draw)) for _ in range(pages)]
     targets = [_targets(p) for p in drawn]
@@ -151,12 +154,12 @@ def decoded(page: Page, odds: np.ndarray) -> str:
 
 def main_text(pages: DataFrame, trees: boosting.Trees | None = None) -> DataFrame:
     """`page_id, url, text, n_blocks` of each page, whole however long."""
-    shared = pages.sparkSession.sparkContext.broadcast(trees or trained())
+    shared = frames.shared(pages.sparkSession, "trees", trees or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames.slices(batches, "html"):
             trees_of = [Page(source) for source in batch.column("html").to_pylist()]
-            odds = shared.value.odds(np.concatenate([p.features() for p in trees_of]))
+            odds = shared().odds(np.concatenate([p.features() for p in trees_of]))
             ends = np.cumsum([len(p.tags) for p in trees_of])
             found = [decoded(p, odds[end - len(p.tags):end]) for p, end in zip(trees_of, ends)]
             yield pa.RecordBatch.from_arrays(

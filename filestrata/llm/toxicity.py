@@ -155,10 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """`doc_id, score, sentences` of each text; sentences are (start, end, score) in characters, in order."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = frames.shared(docs.sparkSession, "toxicity", model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared())
         for batch in frames.slices(batches, "text"):
             found = [scorer.score(text) for text in batch.column("text").to_pylist()]
             spans = pa.array([[{"start": a, "end": b, "score": p} for a, b, p in spans] for _, spans in found],
@@ -179,8 +179,24 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("filter(sentences, s -> s.score >= 0.5)").alias("offending"))
 
 
+def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose text scores below the threshold; each row is judged by its own text, whatever its id."""
+    shared = frames.shared(docs.sparkSession, "toxicity", model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared())
+        for whole in batches:
+            for batch in frames.slices(iter([whole]), "text"):
+                mask = [scorer.score(text or "")[0] < threshold for text in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of `docs` whose score stays below the threshold; a row with a null id is judged like any other."""
-    scored = score(docs, train(docs, frames.table(spark, sf_dir, "labels"), ~(frames.residue("doc_id", 4) == 2)))
-    toxic = scored.filter(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti")
+    """The rows of `docs` whose score stays below the threshold.
+
+    Null and empty texts have the leak's score and stay. Rows with a null id, and rows that repeat an id, are judged by their own text.
+    An empty table stays empty. All columns come back as they are.
+    """
+    return below(docs, train(docs, frames.table(spark, sf_dir, "labels"), ~(frames.residue("doc_id", 4) == 2)))
