@@ -6,22 +6,25 @@ EXCLUDED_NAMES = ["__pycache__", ".git", ".svn", ".hg"]
 EXCLUDED_NAMES_ANY_CASE = ["thumbs.db", "desktop.ini", ".ds_store"]
 
 # --- Fixed values: extensions read as text by the scan ---------------------------------
-TEXT_EXTENSIONS = """
-.asm .asp .aspx .avdl .bash .bat .bazel .bzl .c .cc .cfg .cjs .cl .clj .cljc .cljs .cmd .conf .cpp
-.cs .csh .css .csv .cxx .dart .dockerfile .editorconfig .ejs .el .env .erb .erl .ex .exs .fs .fsi
-.fsx .gitattributes .gitignore .go .gradle .groovy .h .hbs .hh .hpp .hrl .hs .htm .html .hxx .ini
-.ipynb .java .jinja .jinja2 .jl .js .json .jsp .jsx .ksh .kt .kts .less .lhs .lisp .log .lsp .lua .m
-.make .makefile .markdown .md .mjs .mk .ml .mli .mm .mod .mustache .php .phtml .pl .pm .properties
-.proto .ps1 .psd1 .psm1 .psql .py .pyw .r .rb .rs .rst .s .sass .sc .scala .scm .scss .sh .spec .sql
-.sum .swift .t .tex .thrift .tmpl .toml .tpl .ts .tsx .twig .txt .xhtml .xml .xsd .xslt .yaml .yml
-.zsh
-""".split()
+TEXT_EXTENSIONS = [
+    ".asm", ".asp", ".aspx", ".avdl", ".bash", ".bat", ".bazel", ".bzl", ".c", ".cc", ".cfg", ".cjs", ".cl",
+    ".clj", ".cljc", ".cljs", ".cmd", ".conf", ".cpp", ".cs", ".csh", ".css", ".csv", ".cxx", ".dart",
+    ".dockerfile", ".editorconfig", ".ejs", ".el", ".env", ".erb", ".erl", ".ex", ".exs", ".fs", ".fsi",
+    ".fsx", ".gitattributes", ".gitignore", ".go", ".gradle", ".groovy", ".h", ".hbs", ".hh", ".hpp",
+    ".hrl", ".hs", ".htm", ".html", ".hxx", ".ini", ".ipynb", ".java", ".jinja", ".jinja2", ".jl", ".js",
+    ".json", ".jsp", ".jsx", ".ksh", ".kt", ".kts", ".less", ".lhs", ".lisp", ".log", ".lsp", ".lua", ".m",
+    ".make", ".makefile", ".markdown", ".md", ".mjs", ".mk", ".ml", ".mli", ".mm", ".mod", ".mustache",
+    ".php", ".phtml", ".pl", ".pm", ".properties", ".proto", ".ps1", ".psd1", ".psm1", ".psql", ".py",
+    ".pyw", ".r", ".rb", ".rs", ".rst", ".s", ".sass", ".sc", ".scala", ".scm", ".scss", ".sh", ".spec",
+    ".sql", ".sum", ".swift", ".t", ".tex", ".thrift", ".tmpl", ".toml", ".tpl", ".ts", ".tsx", ".twig",
+    ".txt", ".xhtml", ".xml", ".xsd", ".xslt", ".yaml", ".yml", ".zsh",
+]
 TEXT_NAMES = ["changelog", "dockerfile", "license", "makefile", "readme"]
 
 # --- Fixed values: extensions the capsule treats as text -------------------------------
-CAPSULE_TEXT_EXTENSIONS = """
-.cfg .css .html .ini .js .json .md .py .toml .ts .txt .yaml .yml
-""".split()
+CAPSULE_TEXT_EXTENSIONS = [
+    ".cfg", ".css", ".html", ".ini", ".js", ".json", ".md", ".py", ".toml", ".ts", ".txt", ".yaml", ".yml",
+]
 
 # --- Fixed values: size limits in bytes ------------------------------------------------
 DROP_ABOVE = 100 * 1024 * 1024
