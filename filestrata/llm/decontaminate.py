@@ -1,21 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval, confirmed by common subsequences.
 
 Words are runs of letters and digits in lower case, hashed into `BUCKETS` terms; a term's weight is its inverse document
-frequency over all documents. The latent space is a randomised singular value decomposition of the benchmark's TF-IDF passages: a
-space fitted to the corpus would spend its rank on directions that all documents share and lose the
-rare terms that tell one item from another. Both passes over the passages are distributed; the driver holds matrices of BUCKETS x
-rank only.
+frequency over all documents. Items are dealt into spaces of at most `RANK` items of like length. The latent space of each is the randomised
+singular value decomposition of its TF-IDF passages, with a direction for each item: a space of fewer directions than items, or one
+fitted to the corpus, would spend its rank on what all share and lose the rare terms that tell one item from another. Both passes over
+the passages are distributed; the driver holds a matrix of terms x `RANK` for each space.
 
 Every document is covered by overlapping windows, one size for each class of item lengths, such that a passage
-of an item's length lies whole in one of them. Windows whose latent cosine with an item reaches `COSINE` are
-candidates. The space has fewer directions than a large benchmark has items, and a short item is little of its window, so
-windows with at least `HITS` of an item's rarest words are candidates too, whatever their cosine. Those words are as many as
-a leak may lack and `HITS` more, so no leak has fewer of them. A candidate is a leak if the longest common subsequence has at least `SIMILARITY` of the item's words
-and the item's answer (a column `answer`, or else its last sentence) is found to at least a half, or if nearly
-all of the item is there. Items of fewer than five words must be there whole. Items of fewer than `SHORT` words that only
-their rarest words led to must be found in a run of about their length, as a window holds many short subsequences by chance.
-
-Items are taken in blocks of `ITEMS`, one pass over the documents for each, so that what tasks hold is bounded. Null and empty
+of an item's length lies whole in one of them. Windows whose latent cosine with an item reaches `COSINE`, or `SHORT_COSINE` for items of fewer than `SHORT` words, are
+candidates if they have `ENERGY` of its vector along it, and nothing else is; tests measure which share of verbatim and changed passages they hold. A candidate is a leak if the longest
+common subsequence has at least `SIMILARITY` of the item's words and the item's answer (a column `answer`, or else its last sentence) is
+found to at least a half, or if nearly all of the item is there. Items of fewer than five words must be there whole. Items of fewer than
+`SHORT` words must be found in a run of about their length, as a window holds many short subsequences by chance.
+
+Spaces are met in passes over the documents, `SPACES` in each, so that what tasks hold is bounded. Null and empty
 documents are clean; null and empty items match nothing. Rows of documents come back as often as they went in; each is
 judged by its own text, whatever its id.
 """
@@ -35,15 +33,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import frames
 from .words import Words
 
-BUCKETS, RANK, EXTRA = 1 << 15, 64, 8
+BUCKETS, RANK, EXTRA = 1 << 15, 256, 8
+#: Spaces that are met in one pass.
+SPACES = 4
 _SHIFT = np.uint64(64 - 15)
-COSINE, SIMILARITY, NEARLY_ALL, ANSWER = 0.5, 0.75, 0.9, 0.5
-ITEMS = 20_000
-HITS, SHORT = 2, 12
+COSINE, SIMILARITY, NEARLY_ALL, ANSWER = 0.15, 0.75, 0.9, 0.5
+#: The share of an item's vector that a window has along it at least; with a direction for each item, a whole item has all of it.
+ENERGY = 0.3
+#: Words of short items, and the cosine for these: a window holds much besides.
+SHORT, SHORT_COSINE = 12, 0.1
 _STEP = 8
 _SLICE = 1 << 20
+#: Words of one run of windows; longer texts come in parts that overlap by more than a window.
+_RUN = 32_768
 #: Cells of the table that bounds an item's words in a window, as a power of two, and places that are looked up at a time.
-_CELLS, _EXPANDED = 23, 4_000_000
+_CELLS, _EXPANDED = 19, 4_000_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,45 +92,57 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return total[:-1], int(total[-1])
 
 
-def _summed(passages: DataFrame, idf: np.ndarray, inner: np.ndarray, gram: bool) -> np.ndarray:
-    """The sum over passages a of outer(a, a @ inner), or with `gram` of outer(a @ inner, a @ inner)."""
+def _summed(passages: DataFrame, idf: np.ndarray, inner: list[np.ndarray], gram: bool) -> list[np.ndarray]:
+    """Per space the sum over its passages a of outer(a, a @ inner), or with `gram` of outer(a @ inner, a @ inner)."""
     shared = passages.sparkSession.sparkContext.broadcast((idf, inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, right = shared.value
-        total = np.zeros((right.shape[1] if gram else BUCKETS, right.shape[1]))
+        weights, rights = shared.value
         for batch in frames.slices(batches, "text"):
-            words = _words(batch.column("text").to_pylist())
-            for i in range(batch.num_rows):
-                terms, tf = np.unique(_terms(words.hashes[words.first[i]:words.first[i + 1]]), return_counts=True)
-                a = tf * weights[terms]
-                a = a / max(1e-12, np.linalg.norm(a))
-                y = a @ right[terms]
-                if gram:
-                    total += np.outer(y, y)
-                else:
-                    total[terms] += np.outer(a, y)
-        at = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([frames.longs(at), pa.array(list(total[at]), pa.list_(pa.float64()))], ["place", "values"])
+            words, spaces = _words(batch.column("text").to_pylist()), np.asarray(batch.column("space"))
+            for space in np.unique(spaces).tolist():
+                right = rights[space]
+                total = np.zeros((right.shape[1] if gram else BUCKETS, right.shape[1]))
+                for i in np.flatnonzero(spaces == space):
+                    terms, tf = np.unique(_terms(words.hashes[words.first[i]:words.first[i + 1]]), return_counts=True)
+                    a = tf * weights[terms]
+                    a = a / max(1e-12, np.linalg.norm(a))
+                    y = a @ right[terms]
+                    if gram:
+                        total += np.outer(y, y)
+                    else:
+                        total[terms] += np.outer(a, y)
+                at = np.flatnonzero(np.abs(total).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([
+                    frames.longs(np.full(len(at), space)), frames.longs(at), pa.array([row.tobytes() for row in total[at]], pa.binary()),
+                ], ["space", "place", "row"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.groupby("place")["values"].agg(lambda v: np.sum(np.stack(v.to_numpy()), axis=0).tolist()).reset_index()
+        summed = rows.groupby(["space", "place"])["row"].agg(
+            lambda v: np.sum([np.frombuffer(x) for x in v], axis=0).tobytes())
+        return summed.reset_index()
 
-    schema = "place long, values array<double>"
-    rows = passages.select("text").mapInArrow(run, schema).groupBy(F.col("place") % 64).applyInPandas(add, schema).collect()
-    total = np.zeros((inner.shape[1] if gram else BUCKETS, inner.shape[1]))
+    schema = "space long, place long, row binary"
+    rows = passages.select("space", "text").mapInArrow(run, schema).groupBy("space", F.col("place") % 16).applyInPandas(add, schema).collect()
+    totals = [np.zeros((right.shape[1] if gram else BUCKETS, right.shape[1])) for right in inner]
     for row in rows:
-        total[row["place"]] = row["values"]
-    return total
+        totals[row["space"]][row["place"]] = np.frombuffer(row["row"])
+    return totals
+
 
+def latent_spaces(passages: DataFrame, idf: np.ndarray, n: int, rank: int, seed: int = 3) -> list[np.ndarray]:
+    """For each of `n` spaces the leading right singular vectors (terms x rank) of its passages' TF-IDF matrix.
 
-def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 3) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of the passages' TF-IDF matrix, by a randomised range finder."""
+    `passages` are (space, text). The range finder multiplies by random numbers, then by what that gives.
+    """
     start = np.random.default_rng(seed).standard_normal((BUCKETS, rank + EXTRA))
-    basis, _ = np.linalg.qr(_summed(passages, idf, start, gram=False))
-    values, turn = np.linalg.eigh(_summed(passages, idf, basis, gram=True))
-    best = np.argsort(values)[::-1][:rank]
-    return basis @ turn[:, best[values[best] > 1e-9]]
+    bases = [np.linalg.qr(total)[0] for total in _summed(passages, idf, [start] * n, gram=False)]
+    out = []
+    for basis, gram in zip(bases, _summed(passages, idf, bases, gram=True)):
+        values, turn = np.linalg.eigh(gram)
+        best = np.argsort(values)[::-1][:rank]
+        out.append(basis @ turn[:, best[values[best] > 1e-9]])
+    return out
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -147,6 +163,7 @@ class Item:
     id: int
     words: np.ndarray
     answer: np.ndarray
+    text: str = ""
 
     def found(self, words: np.ndarray) -> float:
         """The share of the item that is in the words if that makes a leak, else 0."""
@@ -171,57 +188,8 @@ class Item:
         return max(self.found(words[i:i + span]) for i in range(max(1, len(words) - span + 1)))
 
 
-@dataclass(frozen=True)
-class Rarest:
-    """The items of a class by their rarest terms: those of term t are at `first[t]` to `first[t + 1]`.
-
-    `weight` is how many of the item's rarest words have the term, and `hits` how many of them each item's leaks have at least.
-    """
-
-    first: np.ndarray
-    item: np.ndarray
-    weight: np.ndarray
-    hits: np.ndarray
-
-    @staticmethod
-    def of(members: list[Item], idf: np.ndarray) -> "Rarest":
-        rows, hits = [], np.zeros(len(members), dtype=np.int64)
-        for i, item in enumerate(members):
-            n, terms = len(item.words), _terms(item.words)
-            need = n if n < 5 else math.ceil(SIMILARITY * n)
-            hits[i] = min(HITS, need)
-            rarest, times = np.unique(terms[np.argsort(-idf[terms], kind="stable")[:n - need + hits[i]]], return_counts=True)
-            rows.append(np.stack([rarest, np.full(len(rarest), i), times]))
-        term, item, weight = np.concatenate(rows, axis=1)
-        order = np.argsort(term, kind="stable")
-        return Rarest(np.searchsorted(term[order], np.arange(BUCKETS + 1)), item[order], weight[order], hits)
-
-    def pairs(self, terms: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The windows, as runs of `terms`, and items that have enough of the item's rarest words; a word may count twice."""
-        at = np.flatnonzero(self.first[terms + 1] > self.first[terms])
-        head = self.first[terms[at]]
-        ends = np.concatenate(([0], np.cumsum(self.first[terms[at] + 1] - head)))
-        low = ends[np.searchsorted(at, start)]
-        length = ends[np.searchsorted(at, stop)] - low
-        total = np.cumsum(length)
-        a = 0
-        while a < len(length):
-            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + _EXPANDED, side="right")))
-            before = np.cumsum(length[a:b]) - length[a:b]
-            window = np.repeat(np.arange(a, b), length[a:b])
-            seed = np.arange(len(window)) - np.repeat(before - low[a:b], length[a:b])
-            word = np.searchsorted(ends, seed, side="right") - 1
-            posting = head[word] + seed - ends[word]
-            key, place = np.unique(window * len(self.hits) + self.item[posting], return_inverse=True)
-            met = np.bincount(place, self.weight[posting], len(key))
-            window, item = key // len(self.hits), key % len(self.hits)
-            enough = met >= self.hits[item]
-            yield window[enough], item[enough]
-            a = b
-
-
 def read_items(benchmark: DataFrame) -> list[Item]:
-    """The items of one block, at most `ITEMS` of them."""
+    """The items of one pass."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.filter("text IS NOT NULL").select("item_id", "text", answer.alias("answer")).collect()
     items = []
@@ -229,13 +197,13 @@ def read_items(benchmark: DataFrame) -> list[Item]:
         last = re.split(r"(?<=[.!?])\s+", row["text"].strip())[-1]
         words, answer_words = _words([row["text"]]).hashes, _words([row["answer"] or last]).hashes
         if len(words):
-            items.append(Item(row["item_id"], words, answer_words))
-    return sorted(items, key=lambda item: item.words.tobytes())
+            items.append(Item(row["item_id"], words, answer_words, row["text"]))
+    return sorted(items, key=lambda item: (len(item.words), item.words.tobytes()))
 
 
 def length_class(n: int) -> int:
-    """The smallest of 16, 24, 32, 48, 64, 96, ... that is at least n."""
-    size = 16
+    """The smallest of 8, 12, 16, 24, 32, 48, ... that is at least n."""
+    size = 8
     while size < n:
         size = size * 3 // 2 if size & (size - 1) == 0 else size // 3 * 4
     return size
@@ -243,35 +211,37 @@ def length_class(n: int) -> int:
 
 @dataclass(frozen=True)
 class Index:
-    """Latent vectors of terms, already weighted, and the items with their unit vectors by length class.
+    """Latent vectors of a space's terms, already weighted, and its items with their unit vectors by length class.
 
-    `classes` have the window's size, the items' first place, the items and their vectors. `weights` has in the
-    cell of an item and a term how many of the item's words have the term; pairs that share a cell are added up.
-    `rarest` has the rarest terms of each class.
+    `row` leads from a term to its vector in `terms`, and is -1 for terms of no item. `classes` have the window's size, the items'
+    first place, the items and their vectors. `weights` has in the cell of an item and a term how many of the item's words have
+    the term; pairs that share a cell are added up. `norms` are the lengths of the items' vectors.
     """
 
+    row: np.ndarray
     terms: np.ndarray
-    used: np.ndarray
     weights: np.ndarray
     classes: list[tuple[int, int, list[Item], np.ndarray]]
-    rarest: list[Rarest]
+    norms: list[np.ndarray]
 
     @staticmethod
     def of(items: list[Item], idf: np.ndarray, space: np.ndarray) -> "Index":
-        terms = (idf[:, None] * space).astype(np.float32)
-        used = np.zeros(BUCKETS, dtype=bool)
+        used = np.unique(np.concatenate([_terms(item.words) for item in items]))
+        row = np.full(BUCKETS, -1, dtype=np.int32)
+        row[used] = np.arange(len(used))
+        terms = (idf[used, None] * space[used]).astype(np.float32)
         by_class: dict[int, list[Item]] = {}
         for item in items:
-            used[_terms(item.words)] = True
             by_class.setdefault(length_class(len(item.words)), []).append(item)
-        classes, weights, place = [], np.zeros(1 << _CELLS, dtype=np.int32), 0
+        classes, norms, weights, place = [], [], np.zeros(1 << _CELLS, dtype=np.int32), 0
         for size, members in sorted(by_class.items()):
-            vectors = np.stack([terms[_terms(item.words)].sum(axis=0) for item in members])
-            classes.append((size, place, members, vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))))
+            vectors = np.stack([terms[row[_terms(item.words)]].sum(axis=0) for item in members])
+            norms.append(np.maximum(1e-9, np.linalg.norm(vectors, axis=1)))
+            classes.append((size, place, members, vectors / norms[-1][:, None]))
             for item in members:
                 np.add.at(weights, _cells(np.full(len(item.words), place), _terms(item.words)), 1)
                 place += 1
-        return Index(terms, used, weights, classes, [Rarest.of(members, idf) for _, _, members, _ in classes])
+        return Index(row, terms, weights, classes, norms)
 
     def _at_most(self, item: np.ndarray, terms: np.ndarray, before: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """For each pair of an item and a run of `terms`, no fewer than the item's words that are in the run.
@@ -294,62 +264,76 @@ class Index:
     def leaks(self, words: Words, n: int) -> list[dict[int, float]]:
         """Per text the items that it holds, with the share found."""
         found: list[dict[int, float]] = [{} for _ in range(n)]
-        sizes = words.counts()
-        steps = -(-sizes // _STEP)
+        overlap = 2 * max(size for size, _, _, _ in self.classes)
+        length = max(_RUN, 2 * overlap)
+        run: list[tuple[int, int, int]] = []
+        for text in range(n):
+            begin, end = int(words.first[text]), int(words.first[text + 1])
+            while begin < end:
+                stop = min(end, begin + length)
+                if run and stop - begin + sum(b - a for _, a, b in run) > length:
+                    self._leaks(words, run, found)
+                    run = []
+                run.append((text, begin, stop))
+                begin = stop if stop == end else stop - overlap
+        if run:
+            self._leaks(words, run, found)
+        return found
+
+    def _leaks(self, words: Words, run: list[tuple[int, int, int]], found: list[dict[int, float]]) -> None:
+        """As `leaks`, for some parts of texts; each is (text, first word, last word and one)."""
+        owner = np.array([text for text, _, _ in run])
+        hashes = np.concatenate([words.hashes[a:b] for _, a, b in run])
+        first = np.cumsum([0, *(b - a for _, a, b in run)])
+        steps = -(-np.diff(first) // _STEP)
         n_steps = int(steps.sum())
-        if not n_steps:
-            return found
         first_step = np.cumsum(steps) - steps
-        text_of = np.repeat(np.arange(n), steps)
-        begin = words.first[text_of] + _STEP * (np.arange(n_steps) - first_step[text_of])
-        terms = _terms(words.hashes)
-        at = np.flatnonzero(self.used[terms])
+        text_of = np.repeat(np.arange(len(run)), steps)
+        begin = first[text_of] + _STEP * (np.arange(n_steps) - first_step[text_of])
+        terms = _terms(hashes)
+        at = np.flatnonzero(self.row[terms] >= 0)
         met = terms[at]
-        summed = np.zeros((n_steps + 1, self.terms.shape[1]))
+        vectors_of = self.row[met]
+        # A run is short, so that single precision holds its sums.
+        summed = np.zeros((n_steps + 1, self.terms.shape[1]), dtype=np.float32)
         step = np.searchsorted(begin, at, side="right") - 1
         for i in range(_STEP):
             # One word of each step at most.
             rows = np.flatnonzero(at - begin[step] == i)
-            summed[step[rows] + 1] += self.terms[met[rows]]
-        summed = np.cumsum(summed, axis=0)
+            summed[step[rows] + 1] += self.terms[vectors_of[rows]]
+        np.cumsum(summed, axis=0, out=summed)
         order = np.argsort(met, kind="stable")
         before = np.full(len(at), -1)
         before[order[1:]] = np.where(met[order[1:]] == met[order[:-1]], order[:-1], -1)
         in_text = np.arange(n_steps) - first_step[text_of]
-        for (size, place, members, vectors), rarest in zip(self.classes, self.rarest):
+        for (size, place, members, vectors), item_norms in zip(self.classes, self.norms):
             stride = max(1, size // 2 // _STEP)
-            width = size // _STEP + stride
+            width = -(-size // _STEP) + stride
             starts = np.flatnonzero(in_text % stride == 0)
             ends = np.minimum(starts + width, (first_step + steps)[text_of[starts]])
-            x = (summed[ends] - summed[starts]).astype(np.float32)
+            x = summed[ends] - summed[starts]
             norms = np.maximum(1e-9, np.linalg.norm(x, axis=1))
-            lows = np.maximum(words.first[text_of[starts]], begin[starts] - size // 4)
-            highs = np.minimum(words.first[text_of[starts] + 1], begin[starts] + width * _STEP + size // 4)
+            lows = np.maximum(first[text_of[starts]], begin[starts] - size // 4)
+            highs = np.minimum(first[text_of[starts] + 1], begin[starts] + width * _STEP + size // 4)
             first_met, last_met = np.searchsorted(at, lows), np.searchsorted(at, highs)
             least = np.array([SIMILARITY * len(item.words) for item in members])
-            tried = set()
-
-            def candidates(window: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-                # No subsequence is longer than the number of the item's words that are there at all.
-                enough = self._at_most(place + item, met, before, first_met[window], last_met[window]) >= least[item]
-                for w, i in zip(window[enough].tolist(), item[enough].tolist()):
-                    if found[text_of[starts[w]]].get(members[i].id, 0.0) < 1 and (w, i) not in tried:
-                        yield w, i, words.hashes[lows[w]:highs[w]]
-
-            def keep(w: int, i: int, share: float) -> None:
-                if share:
-                    of_text, key = found[text_of[starts[w]]], members[i].id
-                    of_text[key] = max(share, of_text.get(key, 0.0))
-
-            for a in range(0, len(members), 512):
-                window, item = np.nonzero(x @ vectors[a:a + 512].T.astype(np.float32) >= COSINE * norms[:, None])
-                for w, i, there in candidates(window, item + a):
-                    keep(w, i, members[i].found(there))
-                    tried.add((w, i))
-            for window, item in rarest.pairs(met, first_met, last_met):
-                for w, i, there in candidates(window, item):
-                    keep(w, i, members[i].found_near(there))
-        return found
+            reach = np.where(least < SIMILARITY * SHORT, SHORT_COSINE, COSINE)
+            along = x @ vectors.T.astype(np.float32)
+            window, item = np.nonzero((along >= reach * norms[:, None]) & (along >= ENERGY * item_norms))
+            # No subsequence is longer than the number of the item's words that are there at all.
+            enough = self._at_most(place + item, met, before, first_met[window], last_met[window]) >= least[item]
+            for w, i in zip(window[enough].tolist(), item[enough].tolist()):
+                of_text, key = found[owner[text_of[starts[w]]]], members[i].id
+                if of_text.get(key, 0.0) < 1:
+                    share = members[i].found_near(hashes[lows[w]:highs[w]])
+                    if share:
+                        of_text[key] = max(share, of_text.get(key, 0.0))
+
+
+def spaces_of(items: list[Item]) -> list[list[Item]]:
+    """Runs of items of like length, as even as can be, of at most `RANK` items."""
+    n = -(-len(items) // RANK)
+    return [items[len(items) * i // n:len(items) * (i + 1) // n] for i in range(n)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -359,27 +343,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     frequency, n_docs = document_frequencies(docs)
     idf = np.log((n_docs + 1) / (frequency + 1)) + 0.01
-    passages = benchmark.select(F.coalesce("text", F.lit("")).alias("text"))
-    space = latent_space(passages, idf)
-    n_items = benchmark.count()
-    blocks = max(1, -(-n_items // ITEMS))
+    passes = max(1, -(-benchmark.count() // (SPACES * RANK)))
     parts = []
-    for block in range(blocks):
-        part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else benchmark
-        index = frames.shared(docs.sparkSession, f"benchmark {block}", Index.of(read_items(part), idf, space))
+    for number in range(passes):
+        part = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number) if passes > 1 else benchmark
+        spaces = spaces_of(read_items(part))
+        if not spaces:
+            continue
+        # An item's text goes to its space; there are few items in a pass.
+        dealt = docs.sparkSession.createDataFrame(
+            [(space, item.text) for space, items in enumerate(spaces) for item in items], "space long, text string")
+        vectors = latent_spaces(dealt.repartition(8), idf, len(spaces), max(map(len, spaces)))
+        index = frames.shared(docs.sparkSession, f"benchmark {number}", [Index.of(*x) for x in zip(spaces, [idf] * len(spaces), vectors)])
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in frames.slices(batches, "text", _SLICE):
-                found = index().leaks(_words(batch.column("text").to_pylist()), batch.num_rows)
+                words = _words(batch.column("text").to_pylist())
+                found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
+                for space in index():
+                    for of_text, more in zip(found, space.leaks(words, batch.num_rows)):
+                        of_text.update(more)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), batch.column("mark"), pa.array([sorted(x for x in f if x is not None) for f in found], pa.list_(pa.int64())),
                     pa.array([max(f.values(), default=0.0) for f in found], pa.float64()),
                 ], ["doc_id", "mark", "items", "similarity"])
 
         parts.append(frames.texts(docs, _mark()).mapInArrow(run, "doc_id long, mark long, items array<long>, similarity double"))
+    if not parts:
+        none = F.array().cast("array<long>")
+        return docs.select("doc_id", F.lit(False).alias("contaminated"), none.alias("items"), F.lit(0.0).alias("similarity"), _mark())
     found = parts[0]
-    if blocks > 1:
-        # Rows of one id and text hold the same items; each block's answer for them is taken once.
+    if len(parts) > 1:
+        # Rows of one id and text hold the same items; each pass's answer for them is taken once.
         keys = F.struct("doc_id", "mark").alias("key")
         more = [part.filter("similarity > 0").select(keys, "items", "similarity").dropDuplicates(["key"]) for part in parts[1:]]
         others = reduce(DataFrame.unionByName, more).groupBy("key").agg(

@@ -308,7 +308,7 @@ def test_decontamination_finds_every_verbatim_item(spark, n_items, least, most):
 def test_common_subsequence_and_classes():
     a, b = np.array([1, 2, 3, 2, 5]), np.array([2, 9, 3, 5, 1])
     assert decontaminate.common_subsequence(a, b) == 3 and decontaminate.common_subsequence(a, a) == 5
-    assert [decontaminate.length_class(n) for n in (1, 16, 17, 25, 33, 49, 65)] == [16, 16, 24, 32, 48, 64, 96]
+    assert [decontaminate.length_class(n) for n in (1, 9, 16, 17, 25, 33, 49, 65)] == [8, 12, 16, 24, 32, 48, 64, 96]
 
 
 @pytest.mark.parametrize("expanded", [7, 4_000_000])
@@ -378,5 +378,5 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
-def test_catalog_has_all_ten():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES) == list(range(1, 11))
+def test_catalog_has_all():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES if n.startswith("op")) == list(range(1, 14))
