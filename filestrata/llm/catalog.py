@@ -19,9 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_lm": lattice_lm.op8_lattice_lm,
     "op9_main_text": main_text.op9_main_text,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "llm_quality_base": quality_rules.base_counts,
     "op11_language": language.op11_language,
     "op12_token_alignment": alignment.op12_token_alignment,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 #: The other operators' results cannot be said in SQL as a whole; tests compare them with brute force.
-ORACLES: dict[str, str] = {"op13_fill_middle": fill_middle.OP13_SQL}
+ORACLES: dict[str, str] = {"op6_near_copies": near_copies.OP6_SQL, "llm_quality_base": quality_rules.BASE_SQL, "op13_fill_middle": fill_middle.OP13_SQL}
