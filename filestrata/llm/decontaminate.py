@@ -136,8 +136,14 @@ def latent_spaces(passages: DataFrame, idf: np.ndarray, n: int, rank: int, seed:
     `passages` are (space, text). The range finder multiplies by random numbers, then by what that gives.
     """
     start = np.random.default_rng(seed).standard_normal((BUCKETS, rank + EXTRA))
-    bases = [np.linalg.qr(total)[0] for total in _summed(passages, idf, [start] * n, gram=False)]
-    out = []
+    bases, out = [], []
+    for total in _summed(passages, idf, [start] * n, gram=False):
+        # Terms of no passage have no part in the basis.
+        at = np.flatnonzero(total.any(axis=1))
+        directions = np.linalg.qr(total[at])[0]
+        basis = np.zeros((BUCKETS, directions.shape[1]))
+        basis[at] = directions
+        bases.append(basis)
     for basis, gram in zip(bases, _summed(passages, idf, bases, gram=True)):
         values, turn = np.linalg.eigh(gram)
         best = np.argsort(values)[::-1][:rank]
