@@ -92,12 +92,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return total[:-1], int(total[-1])
 
 
-def _summed(passages: DataFrame, idf: np.ndarray, inner: list[np.ndarray], gram: bool) -> list[np.ndarray]:
+def _summed(passages: DataFrame, idf: np.ndarray, used: np.ndarray, inner: list[np.ndarray], gram: bool) -> list[np.ndarray]:
     """Per space the sum over its passages a of outer(a, a @ inner), or with `gram` of outer(a @ inner, a @ inner)."""
-    shared = passages.sparkSession.sparkContext.broadcast((idf, inner))
+    # Only rows of terms that occur are sent.
+    rows_of = [np.flatnonzero(right.any(axis=1) & used) for right in inner]
+    shared = passages.sparkSession.sparkContext.broadcast((idf, [(at, right[at]) for at, right in zip(rows_of, inner)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, rights = shared.value
+        weights, sent = shared.value
+        rights = [np.zeros((BUCKETS, part.shape[1])) for _, part in sent]
+        for right, (at, part) in zip(rights, sent):
+            right[at] = part
         for batch in frames.slices(batches, "text"):
             words, spaces = _words(batch.column("text").to_pylist()), np.asarray(batch.column("space"))
             for space in np.unique(spaces).tolist():
@@ -130,21 +135,21 @@ def _summed(passages: DataFrame, idf: np.ndarray, inner: list[np.ndarray], gram:
     return totals
 
 
-def latent_spaces(passages: DataFrame, idf: np.ndarray, n: int, rank: int, seed: int = 3) -> list[np.ndarray]:
+def latent_spaces(passages: DataFrame, idf: np.ndarray, used: np.ndarray, n: int, rank: int, seed: int = 3) -> list[np.ndarray]:
     """For each of `n` spaces the leading right singular vectors (terms x rank) of its passages' TF-IDF matrix.
 
-    `passages` are (space, text). The range finder multiplies by random numbers, then by what that gives.
+    `passages` are (space, text), and `used` tells which terms they have. The range finder multiplies by random numbers, then by what that gives.
     """
     start = np.random.default_rng(seed).standard_normal((BUCKETS, rank + EXTRA))
     bases, out = [], []
-    for total in _summed(passages, idf, [start] * n, gram=False):
+    for total in _summed(passages, idf, used, [start] * n, gram=False):
         # Terms of no passage have no part in the basis.
         at = np.flatnonzero(total.any(axis=1))
         directions = np.linalg.qr(total[at])[0]
         basis = np.zeros((BUCKETS, directions.shape[1]))
         basis[at] = directions
         bases.append(basis)
-    for basis, gram in zip(bases, _summed(passages, idf, bases, gram=True)):
+    for basis, gram in zip(bases, _summed(passages, idf, used, bases, gram=True)):
         values, turn = np.linalg.eigh(gram)
         best = np.argsort(values)[::-1][:rank]
         out.append(basis @ turn[:, best[values[best] > 1e-9]])
@@ -359,7 +364,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         # An item's text goes to its space; there are few items in a pass.
         dealt = docs.sparkSession.createDataFrame(
             [(space, item.text) for space, items in enumerate(spaces) for item in items], "space long, text string")
-        vectors = latent_spaces(dealt.repartition(8), idf, len(spaces), max(map(len, spaces)))
+        used = np.zeros(BUCKETS, dtype=bool)
+        used[np.concatenate([_terms(item.words) for items in spaces for item in items])] = True
+        vectors = latent_spaces(dealt.repartition(8), idf, used, len(spaces), max(map(len, spaces)))
         index = frames.shared(docs.sparkSession, f"benchmark {number}", [Index.of(*x) for x in zip(spaces, [idf] * len(spaces), vectors)])
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
