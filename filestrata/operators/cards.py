@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, paths, scores, text
 from . import catalogues, graph, symbols
+from .joins import wide_join
 
 KEY = ["project_id", "path"]
 
@@ -61,7 +62,8 @@ def file_cards(files: DataFrame, facts: DataFrame, parts: frozenset[str] = PARTS
         F.when(text.has_licence_header(seen), "Possible licence header").alias("licence"),
         (paths.suffix(path) == ".py").alias("_python"),
         *_optional_text_columns(path, seen, parts),
-    ).join(parsed, KEY, "left")
+    )
+    cards = wide_join(cards, parsed, KEY)
     unparsed = F.col("_python") & F.col("parse_ok").isNull() & F.col("responsibility").isNull()
     cards = cards.withColumn(
         "responsibility", F.when(unparsed, "Unparseable Python file").otherwise(F.col("responsibility")))
@@ -71,7 +73,7 @@ def file_cards(files: DataFrame, facts: DataFrame, parts: frozenset[str] = PARTS
     complexity = F.col("cyclomatic_complexity") if "complexity_panel" in parts else F.lit(None).cast("int")
     score = scores.risk_score(complexity, F.col("sloc"), F.col("todo_count"))
     cards = cards.withColumns({"risk_score": score, "complexity": scores.risk_band(score)})
-    return symbols.with_empty_lists(cards.join(_sides(files, facts), KEY, "left")).drop("_python")
+    return symbols.with_empty_lists(wide_join(cards, _sides(files, facts), KEY)).drop("_python")
 
 
 def _optional_text_columns(path: Column, seen: Column, parts: frozenset[str]) -> list[Column]:

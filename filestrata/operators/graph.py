@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import paths
 from ..session import frozen
 from . import symbols
-from .joins import lookup_join
+from .joins import lookup_join, wide_join
 
 KEY = ["project_id", "path"]
 
@@ -29,8 +29,7 @@ def classified_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """
     known = internal_modules(files).withColumn("internal", F.lit(True))
     answers = frozen(
-        imports.select("project_id", "namespace").distinct()
-        .join(known, ["project_id", "namespace"], "left")
+        wide_join(imports.select("project_id", "namespace").distinct(), known, ["project_id", "namespace"])
         .select("project_id", "namespace", F.coalesce("internal", F.lit(False)).alias("internal"))
     )
     return lookup_join(imports, answers, ["project_id", "namespace"], KEY)
@@ -49,7 +48,7 @@ def resolved_edges(imports: DataFrame, files: DataFrame, dialect: str) -> DataFr
         .distinct().withColumn("_known", F.lit(True))
     )
     wanted = imports.select("project_id", "module").distinct()
-    targets = frozen(wanted.join(modules, ["project_id", "module"]))
+    targets = frozen(wide_join(wanted, modules, ["project_id", "module"], "inner"))
     edges = lookup_join(imports.filter("module <> ''"), targets, ["project_id", "module"], KEY, "inner")
     return edges.select("project_id", paths.module_id(F.col("path")).alias("source"),
                         F.col("module").alias("target"))
@@ -68,7 +67,7 @@ def call_graph(files: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _per_file(files: DataFrame, facts: DataFrame, column: F.Column, name: str) -> DataFrame:
     found = facts.filter("facts.parse_ok").select(*KEY, column.alias(name))
-    return files.select(*KEY).join(found, KEY, "left").withColumn(
+    return wide_join(files.select(*KEY), found, KEY).withColumn(
         name, F.coalesce(name, F.array().cast("array<string>")))
 
 

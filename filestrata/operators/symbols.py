@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed, paths, scores, text
+from .joins import wide_join
 
 KEY = ["project_id", "path"]
 
@@ -265,7 +266,7 @@ def engine_analysis(files: DataFrame, facts: DataFrame) -> DataFrame:
     rows = files.select(*KEY, "size_bytes", F.coalesce("lines", F.lit(0)).alias("sloc"),
                         paths.language(F.col("path"), "engine").alias("language"))
     path = F.col("path")
-    joined = with_empty_lists(rows.join(parsed, KEY, "left"))
+    joined = with_empty_lists(wide_join(rows, parsed, KEY))
     return joined.withColumns({
         "cyclomatic": F.coalesce("cyclomatic", F.lit(0)),
         "todo_count": F.coalesce("todo_count", F.lit(0)),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths, text
 from ..operators import totals
+from ..operators.joins import wide_join
 
 ORDER = ["project_id", "section", "place", "path"]
 
@@ -92,8 +93,8 @@ def _dash(value: Column) -> Column:
 
 def analysis_markdown(analysis: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """The analysis as Markdown blocks, with each file's text when ``contents`` is given."""
-    rows = analysis if contents is None else analysis.join(
-        contents.select("project_id", "path", "content"), ["project_id", "path"], "left")
+    rows = analysis if contents is None else wide_join(
+        analysis, contents.select("project_id", "path", "content"), ["project_id", "path"])
     imports, classes = F.col("imports"), F.col("classes")
     functions, tests = F.col("functions"), F.col("tests")
     external = F.array_sort(imports)
@@ -220,7 +221,7 @@ def analysis_json(analysis: DataFrame, contents: DataFrame | None = None) -> Dat
     """The analysis row of every file as JSON, with its text when ``contents`` is given."""
     rows, extra = analysis, []
     if contents is not None:
-        rows = analysis.join(contents.select("project_id", "path", "content"), ["project_id", "path"], "left")
+        rows = wide_join(analysis, contents.select("project_id", "path", "content"), ["project_id", "path"])
         extra = ["content"]
     names = ["path", "language", "size_bytes", "sloc", "imports", "classes", "functions", "tests", "windows",
              "widgets", "cyclomatic", "todo_count", "hotspot", "responsibility", *extra]
