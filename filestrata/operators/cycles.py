@@ -1,18 +1,29 @@
 """Import cycles, dependency layers and hubs of module graphs, all projects at once.
 
 A graph is a table of edges (`project_id, source, target`): the source module imports the target. Modules are numbered first, so
-rounds move pairs of numbers only. Every round is frozen, and one that changes nothing is the last. A module that very many others import
-meets its edges through lookup joins, which spread a hot key.
+rounds move pairs of numbers only. Every round is frozen, and one that changes nothing is the last. Rounds pass on only what the last one
+changed, and join by sorting unless there are `FEW` modules: a broadcast each round would go through the driver, whose memory it fills. Edges stream past the modules'
+rows, so a module that very many others import takes time in a task but no memory, and Spark splits its partition if it is skewed.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import frozen
-from .joins import fits_broadcast, lookup_join
+from .joins import fits_broadcast, wide_join
 
 #: Rounds of trimming before modules are coloured; chains that are longer are left to the colours.
 TRIMS = 3
+#: Modules of which a row of two numbers each is broadcast in every round.
+FEW = 10_000
+
+
+def _few(modules: DataFrame) -> bool:
+    return fits_broadcast(modules) and modules.count() <= FEW
+
+
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str], how: str, small: bool) -> DataFrame:
+    return rows.join(F.broadcast(table), keys, how) if small else wide_join(rows, table, keys, how)
 
 
 def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,28 +41,28 @@ def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         modules = frozen(modules.withColumn("id", F.col("id") + place))
     names = modules.select("project_id", F.col("module").alias("source"), F.col("id").alias("u"))
     pairs = edges.filter(F.col("source") != F.col("target")).select("project_id", "source", "target").distinct()
-    pairs = pairs.join(names, ["project_id", "source"]).join(
-        names.toDF("project_id", "target", "v"), ["project_id", "target"])
+    pairs = wide_join(pairs, names, ["project_id", "source"], "inner")
+    pairs = wide_join(pairs, names.toDF("project_id", "target", "v"), ["project_id", "target"], "inner")
     return modules, frozen(pairs.select("u", "v"))
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
+def _trimmed(edges: DataFrame, small: bool) -> DataFrame:
     """Edges whose source is imported and whose target imports: others are in no cycle."""
     for _ in range(TRIMS):
         before = edges
-        edges = before.join(before.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(
-            before.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
+        edges = _meet(before, before.select(F.col("v").alias("u")).distinct(), ["u"], "left_semi", small)
+        edges = _meet(edges, before.select(F.col("u").alias("v")).distinct(), ["v"], "left_semi", small).select("u", "v")
     return frozen(edges)
 
 
 def _least_reaching(edges: DataFrame, small: bool) -> DataFrame:
     """`id, colour`: the least module that reaches each module along the edges, itself included."""
-    colours = frozen(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("colour", F.col("id")))
+    colours = newest = frozen(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("colour", F.col("id")))
     while True:
-        sent = lookup_join(edges.withColumnRenamed("u", "id"), colours, ["id"], ["v"], "inner", small).groupBy("v").agg(F.min("colour").alias("sent"))
-        moved = frozen(colours.join(sent, colours["id"] == sent["v"], "left").select(
+        sent = _meet(edges.withColumnRenamed("u", "id"), newest, ["id"], "inner", small).groupBy("v").agg(F.min("colour").alias("sent"))
+        moved = frozen(_meet(colours, sent.withColumnRenamed("v", "id"), ["id"], "left", small).select(
             "id", F.least("colour", F.coalesce("sent", "colour")).alias("colour"), (F.col("sent") < F.col("colour")).alias("changed")))
-        colours = moved.select("id", "colour")
+        colours, newest = moved.select("id", "colour"), moved.filter("changed").select("id", "colour")
         if not moved.filter("changed").take(1):
             return colours
 
@@ -61,8 +72,8 @@ def _reaching_back(inside: DataFrame, roots: DataFrame, small: bool) -> DataFram
     found = newest = frozen(roots)
     while True:
         # Newest modules are few at the end; edges are kept by target.
-        met = lookup_join(inside.withColumnRenamed("v", "id"), newest.select("id").withColumn("met", F.lit(True)), ["id"], ["u"], "inner", small)
-        newest = frozen(met.select(F.col("u").alias("id"), "colour").distinct().join(found.select("id"), "id", "left_anti"))
+        met = _meet(inside.withColumnRenamed("v", "id"), newest.select("id"), ["id"], "inner", small)
+        newest = frozen(_meet(met.select(F.col("u").alias("id"), "colour").distinct(), found.select("id"), ["id"], "left_anti", small))
         if not newest.take(1):
             return found
         found = frozen(found.unionByName(newest))
@@ -71,57 +82,57 @@ def _reaching_back(inside: DataFrame, roots: DataFrame, small: bool) -> DataFram
 def strong_components(edges: DataFrame, small: bool) -> DataFrame:
     """`id, component` of the modules (`u`, `v`) that lie on a cycle; others are components of their own.
 
-    ``small`` tells whether a row per module fits a broadcast.
+    ``small`` tells whether a row per module may be broadcast in each round.
 
     Forward colours meet backward reach: a module's colour is the least module that reaches it, and those of one colour that reach it
     back are its component. Components leave, edges between colours leave with them, and the rest is coloured anew.
     """
-    left = _trimmed(edges)
+    left = _trimmed(edges, small)
     done: DataFrame | None = None
     while left.take(1):
         colours = _least_reaching(left, small)
-        inside = lookup_join(left.withColumnRenamed("u", "id"), colours, ["id"], ["v"], "inner", small).withColumnRenamed("id", "u")
-        inside = lookup_join(inside.withColumnRenamed("v", "id"), colours.withColumnRenamed("colour", "other"), ["id"], ["u"], "inner", small)
+        inside = _meet(left.withColumnRenamed("u", "id"), colours, ["id"], "inner", small).withColumnRenamed("id", "u")
+        inside = _meet(inside.withColumnRenamed("v", "id"), colours.withColumnRenamed("colour", "other"), ["id"], "inner", small)
         inside = frozen(inside.filter("colour = other").select("u", F.col("id").alias("v"), "colour"))
         found = _reaching_back(inside, colours.filter("id = colour"), small)
         done = found if done is None else frozen(done.unionByName(found))
         gone = found.select("id")
-        rest = inside.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti")
-        left = _trimmed(rest.select("u", "v"))
+        rest = _meet(_meet(inside, gone.withColumnRenamed("id", "u"), ["u"], "left_anti", small), gone.withColumnRenamed("id", "v"), ["v"], "left_anti", small)
+        left = _trimmed(rest.select("u", "v"), small)
     if done is None:
         return edges.select(F.col("u").alias("id"), F.col("u").alias("component")).limit(0)
     several = done.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour")
-    return done.join(several, "colour", "left_semi").select("id", F.col("colour").alias("component"))
+    return _meet(done, several, ["colour"], "left_semi", small).select("id", F.col("colour").alias("component"))
 
 
 def import_cycles(edges: DataFrame) -> DataFrame:
     """`project_id, module, cycle, cycle_size` of the modules that import themselves through others; a cycle is named by its first module."""
     modules, pairs = numbered(edges)
-    return named_cycles(modules, strong_components(pairs, fits_broadcast(modules)))
+    return named_cycles(modules, strong_components(pairs, _few(modules)))
 
 
 def named_cycles(modules: DataFrame, components: DataFrame) -> DataFrame:
-    members = frozen(modules.join(components, "id"))
+    members = frozen(wide_join(modules, components, ["id"], "inner"))
     named = members.groupBy("component").agg(F.min("module").alias("cycle"), F.count("*").alias("cycle_size"))
-    return lookup_join(members, named, ["component"], ["id"], "inner").select("project_id", "module", "cycle", "cycle_size")
+    return wide_join(members, named, ["component"], "inner").select("project_id", "module", "cycle", "cycle_size")
 
 
 def condensed(pairs: DataFrame, components: DataFrame, small: bool) -> DataFrame:
     """Distinct edges between components, without those inside one."""
     known = components.withColumnRenamed("id", "u")
-    out = lookup_join(pairs, known, ["u"], ["v"], small=small).select(F.coalesce("component", "u").alias("a"), "v")
-    out = lookup_join(out, known.withColumnRenamed("u", "v"), ["v"], ["a"], small=small).select("a", F.coalesce("component", "v").alias("b"))
+    out = _meet(pairs, known, ["u"], "left", small).select(F.coalesce("component", "u").alias("a"), "v")
+    out = _meet(out, known.withColumnRenamed("u", "v"), ["v"], "left", small).select("a", F.coalesce("component", "v").alias("b"))
     return frozen(out.filter("a <> b").distinct())
 
 
 def _deepest(dag: DataFrame, small: bool) -> DataFrame:
     """`id, layer`: edges on the longest way from each component to one that imports nothing further."""
-    layers = frozen(dag.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("layer", F.lit(0).cast("long")))
+    layers = newest = frozen(dag.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("layer", F.lit(0).cast("long")))
     while True:
-        below = lookup_join(dag.withColumnRenamed("b", "id"), layers, ["id"], ["a"], "inner", small).groupBy("a").agg((F.max("layer") + 1).alias("up"))
-        moved = frozen(layers.join(below, layers["id"] == below["a"], "left").select(
-            "id", F.coalesce("up", F.lit(0)).alias("layer"), (F.coalesce("up", F.lit(0)) > F.col("layer")).alias("changed")))
-        layers = moved.select("id", "layer")
+        below = _meet(dag.withColumnRenamed("b", "id"), newest, ["id"], "inner", small).groupBy("a").agg((F.max("layer") + 1).alias("up"))
+        moved = frozen(_meet(layers, below.withColumnRenamed("a", "id"), ["id"], "left", small).select(
+            "id", F.greatest("layer", "up").alias("layer"), (F.col("up") > F.col("layer")).alias("changed")))
+        layers, newest = moved.select("id", "layer"), moved.filter("changed").select("id", "layer")
         if not moved.filter("changed").take(1):
             return layers
 
@@ -133,14 +144,14 @@ def dependency_layers(edges: DataFrame) -> DataFrame:
     cycle share a layer. A module on no cycle has itself for `cycle`, with size 1.
     """
     modules, pairs = numbered(edges)
-    small = fits_broadcast(modules)
+    small = _few(modules)
     components = frozen(strong_components(pairs, small))
     layers = _deepest(condensed(pairs, components, small), small)
-    members = frozen(lookup_join(modules, components, ["id"], ["module"]).withColumn("component", F.coalesce("component", "id")))
+    members = frozen(wide_join(modules, components, ["id"]).withColumn("component", F.coalesce("component", "id")))
     named = members.groupBy("component").agg(F.min("module").alias("cycle"), F.count("*").alias("cycle_size"))
-    named = named.join(layers, named["component"] == layers["id"], "left").select(
+    named = wide_join(named, layers.withColumnRenamed("id", "component"), ["component"]).select(
         "component", "cycle", "cycle_size", F.coalesce("layer", F.lit(0).cast("long")).alias("layer"))
-    return lookup_join(members, named, ["component"], ["id"], "inner").select("project_id", "module", "cycle", "cycle_size", "layer")
+    return wide_join(members, named, ["component"], "inner").select("project_id", "module", "cycle", "cycle_size", "layer")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -160,19 +171,19 @@ def hubs(edges: DataFrame, log_size: int = 12) -> DataFrame:
     on cycles depend on themselves, and are not counted for it.
     """
     modules, pairs = numbered(edges)
-    known = frozen(
-        pairs.groupBy(F.col("v").alias("id")).agg(F.theta_sketch_agg("u", F.lit(log_size)).alias("sketch"))
-        .withColumn("n", F.theta_sketch_estimate("sketch")))
+    known = newest = frozen(pairs.groupBy(F.col("v").alias("id")).agg(F.theta_sketch_agg("u", F.lit(log_size)).alias("sketch")))
     while True:
-        passed = lookup_join(pairs.withColumnRenamed("u", "id"), known.select("id", "sketch"), ["id"], ["v"], "inner")
-        passed = passed.select(F.col("v").alias("id"), "sketch").unionByName(known.select("id", "sketch"))
-        grown = passed.groupBy("id").agg(F.theta_union_agg("sketch", F.lit(log_size)).alias("sketch"))
-        moved = frozen(grown.withColumn("n", F.theta_sketch_estimate("sketch")).join(known.select("id", F.col("n").alias("was")), "id", "left"))
-        known = moved.select("id", "sketch", "n")
-        if not moved.filter("was IS NULL OR n <> was").take(1):
+        passed = wide_join(pairs.withColumnRenamed("u", "id"), newest, ["id"], "inner").select(F.col("v").alias("id"), "sketch", F.lit(False).alias("own"))
+        passed = passed.unionByName(known.withColumn("own", F.lit(True)))
+        grown = passed.groupBy("id").agg(
+            F.theta_union_agg("sketch", F.lit(log_size)).alias("sketch"), F.max(F.when(F.col("own"), F.col("sketch"))).alias("was"))
+        moved = frozen(grown.select("id", "sketch", (F.col("was").isNull() | (F.col("sketch") != F.col("was"))).alias("changed")))
+        known, newest = moved.select("id", "sketch"), moved.filter("changed").select("id", "sketch")
+        if not newest.take(1):
             break
-    components = strong_components(pairs, fits_broadcast(modules)).select("id", F.lit(1).alias("itself"))
+    known = known.select("id", F.theta_sketch_estimate("sketch").alias("n"))
+    components = strong_components(pairs, _few(modules)).select("id", F.lit(1).alias("itself"))
     direct = pairs.groupBy(F.col("v").alias("id")).agg(F.count("*").alias("fan_in"))
-    out = modules.join(known, "id", "left").join(direct, "id", "left").join(components, "id", "left")
+    out = wide_join(wide_join(wide_join(modules, known, ["id"]), direct, ["id"]), components, ["id"])
     return out.select("project_id", "module", F.coalesce("fan_in", F.lit(0).cast("long")).alias("fan_in"),
                       (F.coalesce("n", F.lit(0).cast("long")) - F.coalesce("itself", F.lit(0))).alias("dependents"))
