@@ -35,8 +35,7 @@ def _add(name: str, query, sql: str | None) -> None:
 
 def _tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folder of the given tables, scanned as a project of files."""
-    return read_tree(spark, path=sf_dir, bytes="true").select(
-        *KEY, "size_bytes", "read_status", F.sha2("content_bytes", 256).alias("sha256"))
+    return read_tree(spark, path=sf_dir, digest="true", content="false").select(*KEY, "size_bytes", "read_status", "sha256")
 
 
 def _written_tree(spark: SparkSession, sf_dir: str) -> str:
@@ -58,13 +57,13 @@ def _listed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of the files that a listing's filter left."""
     root = _written_tree(spark, sf_dir)
     listing = list_tree(spark, roots=f"t={root}").filter(F.col("path").startswith("source=src2"))
-    return read_listed(listing, {"t": root}).groupBy(F.regexp_extract("path", r"^source=([^/]+)/", 1).alias("project_id")).agg(
+    return read_listed(listing, {"t": root}, with_content=False).groupBy(F.regexp_extract("path", r"^source=([^/]+)/", 1).alias("project_id")).agg(
         F.sum("words").alias("words"), F.sum("size_bytes").alias("size_bytes"))
 
 
 def _tree_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as text files by Spark, then read back from the tree and counted."""
-    tree = read_tree(spark, path=_written_tree(spark, sf_dir)).filter(F.col("read_status") == "ok")
+    tree = read_tree(spark, path=_written_tree(spark, sf_dir), content="false").filter(F.col("read_status") == "ok")
     source = F.regexp_extract("path", r"^source=([^/]+)/", 1)
     return tree.groupBy(source.alias("project_id")).agg(
         F.sum("words").alias("words"), F.sum("size_bytes").alias("size_bytes"),

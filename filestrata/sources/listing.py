@@ -180,16 +180,16 @@ def list_tree(spark: SparkSession, **options: str) -> DataFrame:
     return spark.read.format("file_listing").options(**options).load()
 
 
-def read_listed(listing: DataFrame, roots: dict[str, str], with_bytes: bool = False, tasks: int | None = None) -> DataFrame:
+def read_listed(listing: DataFrame, roots: dict[str, str], with_bytes: bool = False, tasks: int | None = None, with_content: bool = True) -> DataFrame:
     """The files table of the rows of a listing, which other jobs may have filtered; only these are opened.
 
-    Rows are dealt over tasks by hash, so that files of one folder do not stay in one task.
+    Without content, texts of any size are counted piece by piece. Rows are dealt over tasks by hash, so that files of one folder do not stay in one task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 file_path = os.path.join(roots[row["project_id"]], row["path"])
-                content, lines, words, status = _text_of(file_path, row["size_bytes"], os.path.basename(file_path), None)
+                content, lines, words, status = _text_of(file_path, row["size_bytes"], os.path.basename(file_path), None, with_content)
                 data = _bytes_of(file_path) if with_bytes else None
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row[c]], _ARROW.field(c).type) for c in ("project_id", "path", "size_bytes", "mtime")] + [
