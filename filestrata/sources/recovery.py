@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import paths, text
@@ -16,6 +17,8 @@ LENIENT_BLOCK = r"(?dms)^### [^`]*`([^`]+)`.*?^\*\*Size:.*?^```([\p{L}\p{N}_]*)\
 ANY_PATH_BLOCK = r"(?dms)^### [^`]*`(.+?)`.*?^\*\*Size:.*?^```([\p{L}\p{N}_]*)\n(.*?)^```"
 MARKDOWN_MARK = "This report includes complete source code content"
 JSON_FORMAT = "full-content-json"
+#: Bytes of documents that a task reads at a time, or one document.
+HELD_BYTES = 4 << 20
 
 _FILES_IN_JSON = "struct<format:string,files:array<struct<path:string,content:string,has_content:boolean>>>"
 
@@ -133,8 +136,18 @@ def from_html(dumps: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([_read_html(t.as_py()) for t in batch.column("text")], type=blocks)
-            yield pa.RecordBatch.from_arrays([batch.column("dump_id"), found], names=["dump_id", "files"])
+            start = held = 0
+            for i, size in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+                if i > start and held + size > HELD_BYTES:
+                    yield slice_read(batch.slice(start, i - start))
+                    start, held = i, 0
+                held += size
+            if batch.num_rows > start:
+                yield slice_read(batch.slice(start))
+
+    def slice_read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = pa.array([_read_html(t.as_py()) for t in batch.column("text")], type=blocks)
+        return pa.RecordBatch.from_arrays([batch.column("dump_id"), found], names=["dump_id", "files"])
 
     titled = dumps.filter(F.col("text").rlike("<title>Project Structure: ([^<]+)</title>"))
     read_blocks = titled.select("dump_id", "text").mapInArrow(
