@@ -120,6 +120,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames.forget()
         for batch in frames.slices(batches, "text"):
             sets = shingle_sets(frames.raw(batch.column("text")))
             keys = [[mixed(s ^ salt).sum(dtype=np.uint64).view(np.int64) for s in sets] for salt in _KEY_SALT]
@@ -150,6 +151,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames.forget()
         centre, left = None, None
         for batch in frames.slices(batches, "text"):
             of, node, role = (batch.column(c).to_pylist() for c in ("a", "node", "role"))
@@ -183,6 +185,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs whose sizes and signatures allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames.forget()
         for batch in batches:
             x, y = (_matrix(batch.column(c).to_pylist()) for c in ("signature_a", "signature_b"))
             n_x, n_y = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
@@ -313,6 +316,7 @@ def _meeting(blocks: DataFrame, percent: int) -> DataFrame:
     """Pairs (`a`, `b`) across components whose samples all but link them; a block is held by one task at a time, and is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames.forget()
         key, rows = None, []
         for batch in batches:
             found = []
