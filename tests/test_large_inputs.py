@@ -52,6 +52,25 @@ def test_facts_by_column_equal_facts_by_row():
     assert [r.get("main_guard") for r in rows] == [False, True, None, False, False]
 
 
+def test_facts_are_made_in_slices(spark, make_files, monkeypatch):
+    sources = {f"m{i}.py": f"import a{i}\nclass C{i}(a.b.D): x = f(g('{i}'))[0]\n" if i % 5 else "def broken(:\n" for i in range(23)}
+    files = make_files({"p": sources})
+    want = {r["path"]: r["facts"] for r in pyfacts.python_facts(files).collect()}
+    monkeypatch.setattr(pyfacts, "_SLICE", 4)
+    assert {r["path"]: r["facts"] for r in pyfacts.python_facts(files).collect()} == want and len(want) == 23
+    assert want["m7.py"]["classes"][0]["bases"] == ["a.b.D"] and want["m5.py"]["parse_ok"] is False
+
+
+def test_names_need_no_unparser(monkeypatch):
+    monkeypatch.setattr(pyfacts.ast, "unparse", None)
+    found = pyfacts.facts("@a.b\ndef f(x: c.d, *y: e) -> g.h:\n  with i.j(k) as z: n.o(m['p'])\n  if q: r.s\nclass T(u.v): pass\n")
+    kind = to_arrow_schema(FACTS)
+    function, = pyfacts._column(found["functions"], kind.field("functions").type.value_type).to_pylist()
+    assert function["args"][0] == {"slot": "plain", "name": "x", "note": "c.d", "note_name": "c.d"}
+    assert (function["returns"], function["decorators"], function["branches"]) == ("g.h", ["a.b"], 2)
+    assert [c[:2] for c in found["calls"]] == [("i.j", "i.j"), ("n.o", "n.o")]
+
+
 @pytest.mark.parametrize("piece", [1, 2, 7, 1 << 18])
 def test_trees_are_counted_in_pieces(spark, tmp_path, monkeypatch, piece):
     monkeypatch.setattr(tree, "PIECE", piece)
@@ -89,3 +108,17 @@ def test_kept_values_are_forgotten():
     frames.forget()
     assert frames.kept("something", lambda: [2]) == [2]
     frames.forget()
+
+
+def test_forgotten_memory_goes_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    # Pieces too small for pages of their own; the last one pins the heap's end.
+    held = [bytearray(50_000) for _ in range(2_000)]
+    pin = bytearray(50_000)
+    before = resident()
+    held.clear()
+    frames.forget()
+    assert len(pin) and before - resident() > 50_000_000
