@@ -47,7 +47,7 @@ _SLICE = 1 << 20
 #: Words of one run of windows; longer texts come in parts that overlap by more than a window.
 _RUN = 32_768
 #: Cells of the table that bounds an item's words in a window, as a power of two, and places that are looked up at a time.
-_CELLS, _EXPANDED = 19, 4_000_000
+_CELLS, _EXPANDED = 19, 500_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,8 +68,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames.forget()
         total, n = np.zeros(BUCKETS + 1, dtype=np.int64), 0
-        for batch in frames.slices(batches, "text"):
+        for batch in frames.slices(batches, "text", _SLICE):
             words = _words(batch.column("text").to_pylist())
             terms, first = _terms(words.hashes), words.first
             for i in range(batch.num_rows):
@@ -117,7 +118,7 @@ def _summed(passages: DataFrame, idf: np.ndarray, used: np.ndarray, inner: list[
                         total += np.outer(y, y)
                     else:
                         total[terms] += np.outer(a, y)
-                at = np.flatnonzero(np.abs(total).sum(axis=1))
+                at = np.flatnonzero(total.any(axis=1))
                 yield pa.RecordBatch.from_arrays([
                     frames.longs(np.full(len(at), space)), frames.longs(at), pa.array([row.tobytes() for row in total[at]], pa.binary()),
                 ], ["space", "place", "row"])
