@@ -4,7 +4,7 @@ Words are runs of letters and digits in lower case, hashed into `BUCKETS` terms;
 frequency over all documents. Items are dealt into spaces of at most `RANK` items of like length. The latent space of each is the randomised
 singular value decomposition of its TF-IDF passages, with a direction for each item: a space of fewer directions than items, or one
 fitted to the corpus, would spend its rank on what all share and lose the rare terms that tell one item from another. Both passes over
-the passages are distributed; the driver holds a matrix of terms x `RANK` for each space.
+the passages are distributed; the driver holds a matrix of the items' terms x `RANK` for each space.
 
 Every document is covered by overlapping windows, one size for each class of item lengths, such that a passage
 of an item's length lies whole in one of them. Windows whose latent cosine with an item reaches `COSINE`, or `SHORT_COSINE` for items of fewer than `SHORT` words, are
@@ -64,6 +64,12 @@ def _terms(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _SHIFT).astype(np.int64)
 
 
+def _documents_of_terms(terms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """In how many texts each term occurs; the texts have `sizes` of the terms, in order."""
+    met = np.sort(np.repeat(np.arange(len(sizes)), sizes) * BUCKETS + terms)
+    return np.bincount(met[np.flatnonzero(np.diff(met, prepend=-1))] % BUCKETS, minlength=BUCKETS)
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents."""
 
@@ -72,14 +78,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(BUCKETS + 1, dtype=np.int64), 0
         for batch in frames.slices(batches, "text", _SLICE):
             words = _words(batch.column("text").to_pylist())
-            terms, first = _terms(words.hashes), words.first
-            for i in range(batch.num_rows):
-                met = np.zeros(BUCKETS, dtype=bool) if first[i + 1] - first[i] > 2_000 else None
-                if met is None:
-                    total[np.unique(terms[first[i]:first[i + 1]])] += 1
-                else:
-                    met[terms[first[i]:first[i + 1]]] = True
-                    total[:-1] += met
+            total[:-1] += _documents_of_terms(_terms(words.hashes), words.counts())
             n += batch.num_rows
         total[-1] = n
         at = np.flatnonzero(total)
@@ -94,23 +93,28 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _summed(passages: DataFrame, idf: np.ndarray, used: np.ndarray, inner: list[np.ndarray], gram: bool) -> list[np.ndarray]:
-    """Per space the sum over its passages a of outer(a, a @ inner), or with `gram` of outer(a @ inner, a @ inner)."""
-    # Only rows of terms that occur are sent.
-    rows_of = [np.flatnonzero(right.any(axis=1) & used) for right in inner]
-    shared = passages.sparkSession.sparkContext.broadcast((idf, [(at, right[at]) for at, right in zip(rows_of, inner)]))
+    """Per space the sum over its passages a of outer(a, a @ inner), or with `gram` of outer(a @ inner, a @ inner).
+
+    Matrices have a row for each of the terms `used`, which are in order.
+    """
+    # Only rows of terms that occur in the space are sent.
+    rows_of = [np.flatnonzero(right.any(axis=1)) for right in inner]
+    shared = passages.sparkSession.sparkContext.broadcast((idf[used], used, [(at, right[at]) for at, right in zip(rows_of, inner)]))
+    n = len(used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, sent = shared.value
-        rights = [np.zeros((BUCKETS, part.shape[1])) for _, part in sent]
+        weights, used, sent = shared.value
+        rights = [np.zeros((n, part.shape[1])) for _, part in sent]
         for right, (at, part) in zip(rights, sent):
             right[at] = part
         for batch in frames.slices(batches, "text"):
             words, spaces = _words(batch.column("text").to_pylist()), np.asarray(batch.column("space"))
             for space in np.unique(spaces).tolist():
                 right = rights[space]
-                total = np.zeros((right.shape[1] if gram else BUCKETS, right.shape[1]))
+                total = np.zeros((right.shape[1] if gram else n, right.shape[1]))
                 for i in np.flatnonzero(spaces == space):
                     terms, tf = np.unique(_terms(words.hashes[words.first[i]:words.first[i + 1]]), return_counts=True)
+                    terms = np.searchsorted(used, terms)
                     a = tf * weights[terms]
                     a = a / max(1e-12, np.linalg.norm(a))
                     y = a @ right[terms]
@@ -130,26 +134,27 @@ def _summed(passages: DataFrame, idf: np.ndarray, used: np.ndarray, inner: list[
 
     schema = "space long, place long, row binary"
     rows = passages.select("space", "text").mapInArrow(run, schema).groupBy("space", F.col("place") % 16).applyInPandas(add, schema).collect()
-    totals = [np.zeros((right.shape[1] if gram else BUCKETS, right.shape[1])) for right in inner]
+    totals = [np.zeros((right.shape[1] if gram else n, right.shape[1])) for right in inner]
     for row in rows:
         totals[row["space"]][row["place"]] = np.frombuffer(row["row"])
     return totals
 
 
 def latent_spaces(passages: DataFrame, idf: np.ndarray, used: np.ndarray, n: int, rank: int, seed: int = 3) -> list[np.ndarray]:
-    """For each of `n` spaces the leading right singular vectors (terms x rank) of its passages' TF-IDF matrix.
+    """For each of `n` spaces the leading right singular vectors (a row for each of the terms `used`) of its passages' TF-IDF matrix.
 
-    `passages` are (space, text), and `used` tells which terms they have. The range finder multiplies by random numbers, then by what that gives.
+    `passages` are (space, text), and `used` are all terms of theirs, in order. The range finder multiplies by random numbers, then by what that gives.
     """
-    start = np.random.default_rng(seed).standard_normal((BUCKETS, rank + EXTRA))
-    bases, out = [], []
+    start = np.random.default_rng(seed).standard_normal((len(used), rank + EXTRA))
+    bases = []
     for total in _summed(passages, idf, used, [start] * n, gram=False):
-        # Terms of no passage have no part in the basis.
+        # Terms of no passage of the space have no part in the basis.
         at = np.flatnonzero(total.any(axis=1))
         directions = np.linalg.qr(total[at])[0]
-        basis = np.zeros((BUCKETS, directions.shape[1]))
+        basis = np.zeros((len(used), directions.shape[1]))
         basis[at] = directions
         bases.append(basis)
+    out = []
     for basis, gram in zip(bases, _summed(passages, idf, used, bases, gram=True)):
         values, turn = np.linalg.eigh(gram)
         best = np.argsort(values)[::-1][:rank]
@@ -225,7 +230,7 @@ def length_class(n: int) -> int:
 class Index:
     """Latent vectors of a space's terms, already weighted, and its items with their unit vectors by length class.
 
-    `row` leads from a term to its vector in `terms`, and is -1 for terms of no item. `classes` have the window's size, the items'
+    `row` leads from a term to its vector in `terms`, whose last row is 0, and is -1 for terms of no item. `classes` have the window's size, the items'
     first place, the items and their vectors. `weights` has in the cell of an item and a term how many of the item's words have
     the term; pairs that share a cell are added up. `norms` are the lengths of the items' vectors.
     """
@@ -237,23 +242,24 @@ class Index:
     norms: list[np.ndarray]
 
     @staticmethod
-    def of(items: list[Item], idf: np.ndarray, space: np.ndarray) -> "Index":
+    def of(items: list[Item], idf: np.ndarray, space: np.ndarray, rows: np.ndarray | None = None) -> "Index":
+        """`space` has a row for each term, or for each of the terms `rows`, which are in order."""
         used = np.unique(np.concatenate([_terms(item.words) for item in items]))
         row = np.full(BUCKETS, -1, dtype=np.int32)
         row[used] = np.arange(len(used))
-        terms = (idf[used, None] * space[used]).astype(np.float32)
+        terms = (idf[used, None] * space[used if rows is None else np.searchsorted(rows, used)]).astype(np.float32)
         by_class: dict[int, list[Item]] = {}
         for item in items:
             by_class.setdefault(length_class(len(item.words)), []).append(item)
         classes, norms, weights, place = [], [], np.zeros(1 << _CELLS, dtype=np.int32), 0
         for size, members in sorted(by_class.items()):
             vectors = np.stack([terms[row[_terms(item.words)]].sum(axis=0) for item in members])
-            norms.append(np.maximum(1e-9, np.linalg.norm(vectors, axis=1)))
-            classes.append((size, place, members, vectors / norms[-1][:, None]))
+            norms.append(np.maximum(1e-9, np.linalg.norm(vectors, axis=1)).astype(np.float32))
+            classes.append((size, place, members, (vectors / norms[-1][:, None]).astype(np.float32)))
             for item in members:
                 np.add.at(weights, _cells(np.full(len(item.words), place), _terms(item.words)), 1)
                 place += 1
-        return Index(row, terms, weights, classes, norms)
+        return Index(row, np.vstack([terms, np.zeros_like(terms[:1])]), weights, classes, norms)
 
     def _at_most(self, item: np.ndarray, terms: np.ndarray, before: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """For each pair of an item and a run of `terms`, no fewer than the item's words that are in the run.
@@ -309,10 +315,12 @@ class Index:
         # A run is short, so that single precision holds its sums.
         summed = np.zeros((n_steps + 1, self.terms.shape[1]), dtype=np.float32)
         step = np.searchsorted(begin, at, side="right") - 1
-        for i in range(_STEP):
-            # One word of each step at most.
-            rows = np.flatnonzero(at - begin[step] == i)
-            summed[step[rows] + 1] += self.terms[vectors_of[rows]]
+        # The vector of each place of each step; the last is nothing's.
+        vector = np.full((_STEP, n_steps), len(self.terms) - 1)
+        vector[at - begin[step], step] = vectors_of
+        held = np.empty_like(summed)
+        for places in vector:
+            summed[1:] += np.take(self.terms, places, axis=0, mode="clip", out=held[1:])
         np.cumsum(summed, axis=0, out=summed)
         order = np.argsort(met, kind="stable")
         before = np.full(len(at), -1)
@@ -323,15 +331,16 @@ class Index:
             width = -(-size // _STEP) + stride
             starts = np.flatnonzero(in_text % stride == 0)
             ends = np.minimum(starts + width, (first_step + steps)[text_of[starts]])
-            x = summed[ends] - summed[starts]
-            norms = np.maximum(1e-9, np.linalg.norm(x, axis=1))
+            x = np.take(summed, ends, axis=0, mode="clip", out=held[:len(starts)])
+            x -= summed[:-1] if stride == 1 else summed[starts]
+            norms = np.maximum(1e-9, np.sqrt(np.einsum("ij,ij->i", x, x)))
             lows = np.maximum(first[text_of[starts]], begin[starts] - size // 4)
             highs = np.minimum(first[text_of[starts] + 1], begin[starts] + width * _STEP + size // 4)
             first_met, last_met = np.searchsorted(at, lows), np.searchsorted(at, highs)
             least = np.array([SIMILARITY * len(item.words) for item in members])
-            reach = np.where(least < SIMILARITY * SHORT, SHORT_COSINE, COSINE)
-            along = x @ vectors.T.astype(np.float32)
-            window, item = np.nonzero((along >= reach * norms[:, None]) & (along >= ENERGY * item_norms))
+            reach = np.where(least < SIMILARITY * SHORT, SHORT_COSINE, COSINE).astype(np.float32)
+            along = x @ vectors.T
+            window, item = np.nonzero(along >= np.maximum(reach * norms[:, None], ENERGY * item_norms))
             # No subsequence is longer than the number of the item's words that are there at all.
             enough = self._at_most(place + item, met, before, first_met[window], last_met[window]) >= least[item]
             for w, i in zip(window[enough].tolist(), item[enough].tolist()):
@@ -353,6 +362,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     `mark` is a hash of the text, which tells rows of one id apart.
     """
+    # The driver gives back what it was lent for models of earlier stages.
+    frames.forget()
     frequency, n_docs = document_frequencies(docs)
     idf = np.log((n_docs + 1) / (frequency + 1)) + 0.01
     passes = max(1, -(-benchmark.count() // (SPACES * RANK)))
@@ -365,10 +376,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         # An item's text goes to its space; there are few items in a pass.
         dealt = docs.sparkSession.createDataFrame(
             [(space, item.text) for space, items in enumerate(spaces) for item in items], "space long, text string")
-        used = np.zeros(BUCKETS, dtype=bool)
-        used[np.concatenate([_terms(item.words) for items in spaces for item in items])] = True
+        used = np.unique(np.concatenate([_terms(item.words) for items in spaces for item in items]))
         vectors = latent_spaces(dealt.repartition(8), idf, used, len(spaces), max(map(len, spaces)))
-        index = frames.shared(docs.sparkSession, f"benchmark {number}", [Index.of(*x) for x in zip(spaces, [idf] * len(spaces), vectors)])
+        index = frames.shared(docs.sparkSession, f"benchmark {number}", [Index.of(items, idf, space, used) for items, space in zip(spaces, vectors)])
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in frames.slices(batches, "text", _SLICE):

@@ -174,3 +174,28 @@ def test_nothing_but_the_latent_search_leads_to_leaks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "COSINE", 2.0)
     monkeypatch.setattr(decontaminate, "SHORT_COSINE", 2.0)
     assert decontaminate.contamination(docs, benchmark).filter("contaminated").count() == 0
+
+
+def test_documents_of_terms():
+    draw = np.random.default_rng(6)
+    sizes = [0, 3, 500, 0, 40, 0]
+    terms = draw.integers(0, 30, sum(sizes)) * 1000
+    want = np.zeros(decontaminate.BUCKETS, dtype=np.int64)
+    for part in np.split(terms, np.cumsum(sizes)[:-1]):
+        want[np.unique(part)] += 1
+    assert (decontaminate._documents_of_terms(terms, np.array(sizes)) == want).all()
+    assert not decontaminate._documents_of_terms(terms[:0], np.array([0, 0])).any()
+
+
+def test_latent_spaces_hold_the_items_terms_only(spark):
+    texts = ["one two three four", "three four five", "six seven eight nine ten"]
+    words = [decontaminate._terms(decontaminate._words([t]).hashes) for t in texts]
+    used, idf = np.unique(np.concatenate(words)), np.linspace(1, 2, decontaminate.BUCKETS)
+    passages = spark.createDataFrame([(0, texts[0]), (0, texts[1]), (1, texts[2])], "space long, text string")
+    spaces = decontaminate.latent_spaces(passages, idf, used, 2, 2)
+    assert [s.shape for s in spaces] == [(len(used), 2), (len(used), 1)]
+    for terms, space in zip(words, (spaces[0], spaces[0], spaces[1])):
+        vector = np.zeros(len(used))
+        np.add.at(vector, np.searchsorted(used, terms), idf[terms])
+        # All of an item lies in its space.
+        assert np.allclose(space @ (space.T @ vector), vector)
