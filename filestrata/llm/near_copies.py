@@ -219,15 +219,25 @@ def _rooted(nodes: DataFrame, roots: DataFrame | None, first: int, bands: int) -
 
 
 def _spans(rooted: DataFrame) -> DataFrame:
-    """`bucket, a, of` of the buckets whose members are in several components: the centre, which is the least node, and its root."""
-    spans = rooted.groupBy("bucket").agg(F.min("node").alias("a"), F.min_by("root", "node").alias("of"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return stored(spans.filter("low <> high").select("bucket", "a", "of"))
+    """`bucket` of the buckets whose members are in several components."""
+    spans = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return stored(spans.filter("low <> high").select("bucket"))
 
 
 def _stars(rooted: DataFrame, spans: DataFrame) -> DataFrame:
-    """Pairs of each bucket's centre with its members in other components."""
-    met = lookup_join(rooted, spans, ["bucket"], ["node"], "inner").filter("root <> of")
-    return stored(met.select("a", F.col("node").alias("b")).distinct())
+    """Pairs of each bucket's centre with its members in other components.
+
+    The centre is a member of the bucket's largest component, drawn by hash for each bucket: were it the least node, a group of near copies
+    would have the same centre in all of its buckets, and what is unlike that one would be left over.
+    """
+    members = stored(lookup_join(rooted, spans, ["bucket"], ["node"], "inner"))
+    shares = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("bucket", "node")).alias("a"))
+    centres = shares.groupBy("bucket").agg(F.max(F.struct("n", F.xxhash64("bucket", "root").alias("draw"), "root", "a")).alias("most")).select(
+        "bucket", F.col("most.a").alias("a"), F.col("most.root").alias("of"))
+    met = lookup_join(members, centres, ["bucket"], ["node"], "inner").filter("root <> of")
+    out = stored(met.select("a", F.col("node").alias("b")).distinct())
+    discard(members)
+    return out
 
 
 def _unlike(rooted: DataFrame) -> DataFrame:

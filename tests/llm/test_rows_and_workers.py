@@ -176,6 +176,16 @@ def test_nothing_but_the_latent_search_leads_to_leaks(spark, monkeypatch):
     assert decontaminate.contamination(docs, benchmark).filter("contaminated").count() == 0
 
 
+def test_centres_differ_and_lie_in_the_largest_component(spark):
+    """Nodes 0 to 4 are alone, the others linked; all share the same 20 buckets."""
+    rows = [(bucket, node, min(node, 5)) for bucket in range(20) for node in range(50)]
+    rooted = spark.createDataFrame(rows, "bucket long, node long, root long")
+    spans = near_copies._spans(rooted)
+    assert sorted(r["bucket"] for r in spans.collect()) == list(range(20))
+    pairs = {(r["a"], r["b"]) for r in near_copies._stars(rooted, spans).collect()}
+    assert {b for _, b in pairs} == set(range(5)) and min(a for a, _ in pairs) >= 5 and len({a for a, _ in pairs}) > 5
+
+
 def test_documents_of_terms():
     draw = np.random.default_rng(6)
     sizes = [0, 3, 500, 0, 40, 0]
