@@ -260,19 +260,33 @@ def _dealt_anew(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _in_blocks(unlike: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members with their samples, dealt into the blocks in which they meet; `side` tells whether they ask (1), are asked (2) or both (3)."""
+    """Members with their samples, dealt into the blocks in which they meet; `side` tells whether they ask (1), are asked (2) or both (3).
+
+    A node meets its sample once, with the list of its buckets, and is dealt into their blocks after that. The list has an entry for each
+    two bands at most, however large the buckets are.
+    """
     whole = F.col("size") <= PAIRWISE
     cut = unlike.withColumns({
+        "whole": whole, "asks": F.col("root") != F.col("main"),
         "lefts": F.when(whole, 1).otherwise(F.ceil(F.col("rest") / BLOCK)).cast("int"),
-        "rights": F.when(whole, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int"), "hash": F.xxhash64("node")})
-    columns = ["bucket", "lb", "rb", "band", "second", "node", "root", "main", "side"]
-    small = cut.filter(whole).withColumns({"lb": F.lit(0), "rb": F.lit(0), "side": F.when(F.col("root") == F.col("main"), 2).otherwise(3)}).select(*columns)
-    left = cut.filter(~whole & (F.col("root") != F.col("main"))).withColumns({
-        "lb": F.pmod("hash", F.col("lefts")).cast("int"), "rb": F.explode(F.sequence(F.lit(0), F.col("rights") - 1)), "side": F.lit(1)}).select(*columns)
-    right = cut.filter(~whole).withColumns({
-        "rb": F.pmod("hash", F.col("rights")).cast("int"), "lb": F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)), "side": F.lit(2)}).select(*columns)
-    dealt = small.unionByName(left).unionByName(right)
-    return dealt.join(nodes.select("node", "n_shingles", "bands", "level", "sample"), "node")
+        "rights": F.when(whole, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")})
+    entry = ["bucket", "band", "second", "root", "main", "whole", "asks", "lefts", "rights"]
+    lists = cut.groupBy("node").agg(F.collect_list(F.struct(*entry)).alias("met"))
+    sampled = nodes.select("node", "n_shingles", "bands", "level", "sample")
+    rows = lists.join(sampled, "node").select("node", "n_shingles", "bands", "level", "sample", F.inline("met"))
+
+    def place(lb: Column, rb: Column, side: Column | int) -> Column:
+        return F.struct(lb.alias("lb"), rb.alias("rb"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
+
+    def own(count: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+
+    zero = F.lit(0)
+    asked = F.transform(F.sequence(zero, F.col("lefts") - 1), lambda lb: place(lb, own("rights"), 2))
+    asking = F.transform(F.sequence(zero, F.col("rights") - 1), lambda rb: place(own("lefts"), rb, 1))
+    places = F.when(F.col("whole"), F.array(place(zero, zero, F.when(F.col("asks"), 3).otherwise(2)))).when(
+        F.col("asks"), F.concat(asked, asking)).otherwise(asked)
+    return rows.select("bucket", "band", "second", "node", "root", "main", "n_shingles", "bands", "level", "sample", F.inline(places))
 
 
 class _Group:

@@ -78,6 +78,39 @@ def test_moved_rows_grow_with_the_members(spark, monkeypatch):
     assert all(rows < near_copies.BANDS * n for n, rows in zip((400, 800, 1600), moved)) and moved[0] > 0
 
 
+def _rows_joined(plan):
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    below = plan.children()
+    return own + sum(_rows_joined(below.apply(i)) for i in range(below.size()))
+
+
+def test_a_node_meets_its_sample_once(spark, monkeypatch):
+    """Twelve nodes in a small bucket and a large one, 20 times over: the join with samples has a row per node, and all meet in blocks as before."""
+    monkeypatch.setattr(near_copies, "PAIRWISE", 4)
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    large = [(b, b, -1, n, n % 3, 0, 12, 8) for b in range(20) for n in range(12)]
+    small = [(100 + b, b, -1, n, n, 0, 3, 2) for b in range(20) for n in range(3)]
+    unlike = spark.createDataFrame(large + small, "bucket long, band int, second int, node long, root long, main long, size long, rest long")
+    nodes = spark.createDataFrame([(n, 50, [1], 0, b"") for n in range(12)], "node long, n_shingles long, bands array<long>, level int, sample binary")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        blocks = near_copies._in_blocks(unlike, nodes)
+        rows = blocks.collect()
+        assert _rows_joined(blocks._jdf.queryExecution().executedPlan()) == 12
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    held = {}
+    for r in rows:
+        held.setdefault((r["bucket"], r["lb"], r["rb"]), []).append((r["node"], r["side"]))
+    assert all(len(x) == len(set(x)) for x in held.values())
+    for bucket in (0, 19):
+        # Each that asks meets each of the bucket in one block.
+        met = [(a, b) for (of, *_), members in held.items() if of == bucket for a, x in members if x & 1 for b, y in members if y & 2]
+        assert sorted(met) == [(a, b) for a in range(12) if a % 3 for b in range(12)]
+    assert held[100, 0, 0] and sorted(held[100, 0, 0]) == [(0, 2), (1, 3), (2, 3)]
+
+
 def test_samples_tell_similarity():
     draw = np.random.default_rng(2)
     base = np.unique(draw.integers(0, 2**63, 6000, dtype=np.uint64) * np.uint64(2))
