@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.joins import fits_broadcast, lookup_join
+from ..operators.joins import fits_broadcast, sized_join, wide_join
 from ..session import discard, stored
 from . import frames
 from .components import components
@@ -43,6 +43,8 @@ ROUNDS = (4, 28)
 PAIRWISE, BLOCK = 64, 256
 #: Hashes of a set that its sample holds at most.
 SAMPLE = 512
+#: Bytes of a table, written as JSON, that is broadcast; several of them are held by the driver at a time.
+BROADCAST = 16 << 20
 #: Standard errors that signatures may agree less than they should.
 ERRORS = 5.0
 
@@ -140,8 +142,12 @@ def _mark() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
 
 
-def _if_small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if fits_broadcast(table) else table
+def _met(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", small: bool | None = None) -> DataFrame:
+    return sized_join(rows, table, keys, how, BROADCAST, small)
+
+
+def _hinted(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if fits_broadcast(table, BROADCAST) else table.hint("merge")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -165,15 +171,21 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
                         found.append((of[i], node[i]))
             yield pa.RecordBatch.from_arrays([frames.longs([x[i] for x in found]) for i in (0, 1)], ["a", "b"])
 
-    # All that is made of few pairs is small too.
-    small = fits_broadcast(pairs)
+    # A row of two ids here is a wider row or two below, so what is made of the pairs is measured again.
+    small = fits_broadcast(pairs, BROADCAST)
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = lookup_join(pairs, counts, ["a"], ["b"], "inner", small).select(
+    dealt = _met(pairs, counts, ["a"], small=small).select(
         "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
     wanted = dealt.select("a", "block", F.col("b").alias("node"), F.lit(1).alias("role")).unionByName(
         dealt.select("a", "block").distinct().select("a", "block", F.col("a").alias("node"), F.lit(0).alias("role")))
-    wanted = stored(nodes.select("node", "doc_id", "mark").join(F.broadcast(wanted) if small else wanted, "node"))
-    texts = frames.texts(docs, _mark()).join(F.broadcast(wanted) if small else wanted, ["doc_id", "mark"])
+    wanted = stored(_met(nodes.select("node", "doc_id", "mark"), wanted, ["node"]))
+    ids, texts = ["doc_id", "mark"], frames.texts(docs, _mark())
+    if fits_broadcast(wanted, BROADCAST):
+        texts = texts.join(F.broadcast(wanted), ids)
+    else:
+        # Of the texts only those that are in a pair are sorted, as far as their ids can be broadcast.
+        met = wanted.select(*ids).distinct()
+        texts = wide_join(texts.join(F.broadcast(met), ids, "left_semi") if fits_broadcast(met, BROADCAST) else texts, wanted, ids, "inner")
     # Rows that repeat an id and text give the same link again.
     in_blocks = texts.select("a", "block", "node", "role", "text").repartition("a", "block").sortWithinPartitions("a", "block", "role")
     links = stored(in_blocks.mapInArrow(run, "a long, b long"))
@@ -193,13 +205,13 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in "ab"], ["a", "b"])
 
     a, b = (nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab")
-    if fits_broadcast(pairs):
+    if fits_broadcast(pairs, BROADCAST):
         # Few pairs meet the signatures where these are read, for each side by itself.
         met = a.join(F.broadcast(pairs), "a").join(b.join(F.broadcast(pairs), "b"), ["a", "b"])
     else:
         # One centre may be in very many pairs.
-        centres = a.join(pairs.select("a").distinct(), "a", "left_semi")
-        met = lookup_join(pairs.join(b, "b"), centres, ["a"], ["b"], "inner")
+        centres = _met(a, pairs.select("a").distinct(), ["a"], "left_semi")
+        met = wide_join(wide_join(pairs, b, ["b"], "inner"), centres, ["a"], "inner")
     met = met.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return met.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
 
@@ -214,7 +226,7 @@ def _rooted(nodes: DataFrame, roots: DataFrame | None, first: int, bands: int) -
     if roots is None:
         kept = kept.withColumn("root", F.col("node"))
     else:
-        kept = kept.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        kept = _met(kept, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     return kept.select("node", "root", F.posexplode("bands").alias("band", "bucket"))
 
 
@@ -230,11 +242,11 @@ def _stars(rooted: DataFrame, spans: DataFrame) -> DataFrame:
     The centre is a member of the bucket's largest component, drawn by hash for each bucket: were it the least node, a group of near copies
     would have the same centre in all of its buckets, and what is unlike that one would be left over.
     """
-    members = stored(lookup_join(rooted, spans, ["bucket"], ["node"], "inner"))
+    members = stored(_met(rooted, spans, ["bucket"]))
     shares = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("bucket", "node")).alias("a"))
     centres = shares.groupBy("bucket").agg(F.max(F.struct("n", F.xxhash64("bucket", "root").alias("draw"), "root", "a")).alias("most")).select(
         "bucket", F.col("most.a").alias("a"), F.col("most.root").alias("of"))
-    met = lookup_join(members, centres, ["bucket"], ["node"], "inner").filter("root <> of")
+    met = _met(members, centres, ["bucket"]).filter("root <> of")
     out = stored(met.select("a", F.col("node").alias("b")).distinct())
     discard(members)
     return out
@@ -246,14 +258,15 @@ def _unlike(rooted: DataFrame) -> DataFrame:
     spans = stored(
         shares.groupBy("bucket").agg(F.sum("n").alias("size"), F.max_by("root", "n").alias("main"), F.max("n").alias("most"), F.count("*").alias("parts"))
         .filter("parts > 1").select("bucket", "size", "main", (F.col("size") - F.col("most")).alias("rest")))
-    out = stored(lookup_join(rooted, spans, ["bucket"], ["node"], "inner"))
+    out = stored(_met(rooted, spans, ["bucket"]))
     discard(spans)
     return out
 
 
 def _dealt_anew(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of large buckets by their bucket and each later band: `band, second, bucket, node, root`."""
-    later = crowded.select("node", "root", F.col("band").alias("first"), F.col("bucket").alias("crowd")).join(nodes.select("node", "bands"), "node").select(
+    crowds = crowded.select("node", "root", F.col("band").alias("first"), F.col("bucket").alias("crowd"))
+    later = _met(nodes.select("node", "bands"), crowds, ["node"]).select(
         "node", "root", "crowd", "first", F.posexplode(F.expr("slice(bands, first + 2, 64)")).alias("after", "later"))
     return later.select(F.col("first").alias("band"), (F.col("first") + 1 + F.col("after")).alias("second"),
                         F.xxhash64("crowd", "later").alias("bucket"), "node", "root")
@@ -273,7 +286,7 @@ def _in_blocks(unlike: DataFrame, nodes: DataFrame) -> DataFrame:
     entry = ["bucket", "band", "second", "root", "main", "whole", "asks", "lefts", "rights"]
     lists = cut.groupBy("node").agg(F.collect_list(F.struct(*entry)).alias("met"))
     sampled = nodes.select("node", "n_shingles", "bands", "level", "sample")
-    rows = lists.join(sampled, "node").select("node", "n_shingles", "bands", "level", "sample", F.inline("met"))
+    rows = wide_join(lists, sampled, ["node"], "inner").select("node", "n_shingles", "bands", "level", "sample", F.inline("met"))
 
     def place(lb: Column, rb: Column, side: Column | int) -> Column:
         return F.struct(lb.alias("lb"), rb.alias("rb"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
@@ -364,7 +377,7 @@ def _leftovers(nodes: DataFrame, roots: DataFrame | None, spans: list[DataFrame]
     Of the bands that two sets share, the first one's bucket is either not crowded or dealt anew with the others.
     """
     buckets = reduce(DataFrame.unionByName, [x.select("bucket") for x in spans])
-    rooted = stored(_rooted(nodes, roots, 0, BANDS).join(_if_small(buckets), "bucket", "left_semi").withColumn("second", F.lit(-1)))
+    rooted = stored(_rooted(nodes, roots, 0, BANDS).join(_hinted(buckets), "bucket", "left_semi").withColumn("second", F.lit(-1)))
     unlike = _unlike(rooted)
     crowded = (F.col("size") > PAIRWISE) & (F.col("rest") > BLOCK)
     again = _unlike(_dealt_anew(unlike.filter(crowded), nodes))
@@ -390,7 +403,7 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             found = confirmed(pairs, nodes, docs, percent)
             # Roots stand for all that was linked before.
             edges = found if roots is None else found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
-            old, roots = roots, components(edges)
+            old, roots = roots, components(edges, BROADCAST)
             discard(found, *([] if old is None else [old]))
         discard(pairs)
     discard(*spans)
@@ -415,18 +428,18 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     # Of a class the row with the least id, and of its rows one, stands for all.
     classes = stored(filled.groupBy(*keys).agg(F.min(F.struct("doc_id", "row")).alias("least")).select(
         *keys, F.col("least.row").alias("node"), F.col("least.doc_id").alias("first_id")))
-    nodes = stored(filled.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi").select(
+    nodes = stored(_met(filled.withColumnRenamed("row", "node"), classes.select("node"), ["node"], "left_semi").select(
         "node", "doc_id", "mark", "n_shingles", "bands", "signature", "level", "sample"))
     roots = linked(nodes, docs, percent)
     if roots is None:
         component = classes.select(*keys, F.col("first_id").alias("component_id"), F.col("node").alias("root"))
     else:
-        rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = _met(classes, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
         ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        component = lookup_join(rooted, ids, ["root"], ["node"], "inner").select(*keys, "component_id", "root")
+        component = _met(rooted, ids, ["root"]).select(*keys, "component_id", "root")
     component = stored(component)
     discard(nodes, classes, *([] if roots is None else [roots]))
-    found = lookup_join(sketched.select("doc_id", "mark", *keys), component, keys, ["doc_id"])
+    found = _met(sketched.select("doc_id", "mark", *keys), component, keys, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "mark", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"),
                         F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"))
@@ -466,13 +479,13 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     judged = stored(_judged(docs, percent).filter("root IS NOT NULL").select("doc_id", "mark", "root"))
     least = judged.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("least"))
-    rest = lookup_join(judged, least, ["root"], ["doc_id", "mark"], "inner").filter(F.struct("doc_id", "mark") != F.col("least"))
+    rest = _met(judged, least, ["root"]).filter(F.struct("doc_id", "mark") != F.col("least"))
     drop = stored(rest.select(F.col("doc_id").alias("_near_id"), F.col("mark").alias("_near_mark")).distinct())
     same = stored(judged.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1").select(
         F.col("doc_id").alias("_near_id"), F.col("mark").alias("_near_mark")))
     met = (F.col("doc_id") == F.col("_near_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_near_mark"))
-    out = docs.join(_if_small(drop), met, "left_anti")
+    out = docs.join(_hinted(drop), met, "left_anti")
     if same.take(1):
-        once = out.join(_if_small(same), met, "left_semi").dropDuplicates(["doc_id", "text"])
-        out = out.join(_if_small(same), met, "left_anti").unionByName(once)
+        once = out.join(_hinted(same), met, "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(_hinted(same), met, "left_anti").unionByName(once)
     return out.select(*docs.columns)

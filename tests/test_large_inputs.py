@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from filestrata.catalog import exchange
-from filestrata.llm import frames
-from filestrata.operators import cycles, graph, symbols
+from filestrata.llm import components, frames, near_copies
+from filestrata.operators import cycles, graph, joins, symbols
 from filestrata.schemas import FACTS
 from filestrata.sources import dumps, pyfacts, recovery, tree
 from filestrata.sources.tables import linked_sources, part_sources
@@ -41,6 +41,27 @@ def test_rounds_over_many_modules_broadcast_nothing(spark, monkeypatch, name):
     assert {tuple(r) for r in getattr(cycles, name)(edges).collect()} == want
 
 
+def test_components_beyond_the_limit_broadcast_nothing(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    monkeypatch.setattr(components, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(joins.F, "broadcast", None)
+    assert {tuple(r) for r in components.components(edges).collect()} == {(i, 0) for i in range(21)}
+
+
+def test_near_copies_beyond_the_limit_broadcast_nothing(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words), " ".join(words[:-2]), " ".join(words[2:]), "something else", "", None]
+    texts += [" ".join(f"v{i * j}" for i in range(60)) for j in range(1, 4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(near_copies.near_copies(docs).collect())
+    left = sorted(r["doc_id"] for r in near_copies.one_of_each(docs).collect())
+    assert [r["component_id"] for r in want][:4] == [0] * 4 and left[:2] == [0, 4]
+    monkeypatch.setattr(near_copies, "BROADCAST", -1)
+    monkeypatch.setattr(joins.F, "broadcast", None)
+    assert sorted(near_copies.near_copies(docs).collect()) == want
+    assert sorted(r["doc_id"] for r in near_copies.one_of_each(docs).collect()) == left
+
+
 def test_facts_by_column_equal_facts_by_row():
     sources = ["import a.b, c\nfrom . import d\nclass A(B, m=C[int]):\n  'doc'\n  def f(self, x: 'int' = 1, *, y): return x\n",
                "if 'x' and __name__ == '__main__':\n  f(g(1), k='v')[2]\n", "def broken(:\n", "", "global x\nx = '\\ud800é'\n"]
