@@ -1,15 +1,16 @@
 """Import cycles, dependency layers and hubs of module graphs, all projects at once.
 
 A graph is a table of edges (`project_id, source, target`): the source module imports the target. Modules are numbered first, so
-rounds move pairs of numbers only. Every round is frozen, and one that changes nothing is the last. Rounds pass on only what the last one
-changed, and join by sorting unless there are `FEW` modules: a broadcast each round would go through the driver, whose memory it fills. Edges stream past the modules'
+rounds move pairs of numbers only. Every round is stored and the one before it deleted, and one that changes nothing is the last. A stored
+table is judged by its files; Spark would multiply the sizes of frozen ones anew in each join, to numbers of millions of digits that fill the driver. Rounds pass on only
+what the last one changed, and join by sorting unless there are `FEW` modules: a broadcast each round would go through the driver, whose memory it fills. Edges stream past the modules'
 rows, so a module that very many others import takes time in a task but no memory, and Spark splits its partition if it is skewed.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import frozen
+from ..session import discard, frozen, stored
 from .joins import fits_broadcast, wide_join
 
 #: Rounds of trimming before modules are coloured; chains that are longer are left to the colours.
@@ -43,25 +44,31 @@ def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = edges.filter(F.col("source") != F.col("target")).select("project_id", "source", "target").distinct()
     pairs = wide_join(pairs, names, ["project_id", "source"], "inner")
     pairs = wide_join(pairs, names.toDF("project_id", "target", "v"), ["project_id", "target"], "inner")
-    return modules, frozen(pairs.select("u", "v"))
+    return modules, stored(pairs.select("u", "v"))
 
 
 def _trimmed(edges: DataFrame, small: bool) -> DataFrame:
-    """Edges whose source is imported and whose target imports: others are in no cycle."""
+    """Edges whose source is imported and whose target imports: others are in no cycle.
+
+    Each round reads the one before three times, so it is stored first: all rounds in one plan would be 27 times one.
+    """
+    edges = stored(edges)
     for _ in range(TRIMS):
         before = edges
         edges = _meet(before, before.select(F.col("v").alias("u")).distinct(), ["u"], "left_semi", small)
-        edges = _meet(edges, before.select(F.col("u").alias("v")).distinct(), ["v"], "left_semi", small).select("u", "v")
-    return frozen(edges)
+        edges = stored(_meet(edges, before.select(F.col("u").alias("v")).distinct(), ["v"], "left_semi", small).select("u", "v"))
+        discard(before)
+    return edges
 
 
 def _least_reaching(edges: DataFrame, small: bool) -> DataFrame:
     """`id, colour`: the least module that reaches each module along the edges, itself included."""
-    colours = newest = frozen(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("colour", F.col("id")))
+    colours = newest = moved = stored(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("colour", F.col("id")))
     while True:
         sent = _meet(edges.withColumnRenamed("u", "id"), newest, ["id"], "inner", small).groupBy("v").agg(F.min("colour").alias("sent"))
-        moved = frozen(_meet(colours, sent.withColumnRenamed("v", "id"), ["id"], "left", small).select(
+        old, moved = moved, stored(_meet(colours, sent.withColumnRenamed("v", "id"), ["id"], "left", small).select(
             "id", F.least("colour", F.coalesce("sent", "colour")).alias("colour"), (F.col("sent") < F.col("colour")).alias("changed")))
+        discard(old)
         colours, newest = moved.select("id", "colour"), moved.filter("changed").select("id", "colour")
         if not moved.filter("changed").take(1):
             return colours
@@ -69,14 +76,18 @@ def _least_reaching(edges: DataFrame, small: bool) -> DataFrame:
 
 def _reaching_back(inside: DataFrame, roots: DataFrame, small: bool) -> DataFrame:
     """`id, colour` of the modules that reach the root of their colour; ``inside`` are edges between modules of one colour."""
-    found = newest = frozen(roots)
+    found = newest = stored(roots)
     while True:
         # Newest modules are few at the end; edges are kept by target.
         met = _meet(inside.withColumnRenamed("v", "id"), newest.select("id"), ["id"], "inner", small)
-        newest = frozen(_meet(met.select(F.col("u").alias("id"), "colour").distinct(), found.select("id"), ["id"], "left_anti", small))
+        last, newest = newest, stored(_meet(met.select(F.col("u").alias("id"), "colour").distinct(), found.select("id"), ["id"], "left_anti", small))
+        if last is not found:
+            discard(last)
         if not newest.take(1):
+            discard(newest)
             return found
-        found = frozen(found.unionByName(newest))
+        old, found = found, stored(found.unionByName(newest))
+        discard(old)
 
 
 def strong_components(edges: DataFrame, small: bool) -> DataFrame:
@@ -93,12 +104,18 @@ def strong_components(edges: DataFrame, small: bool) -> DataFrame:
         colours = _least_reaching(left, small)
         inside = _meet(left.withColumnRenamed("u", "id"), colours, ["id"], "inner", small).withColumnRenamed("id", "u")
         inside = _meet(inside.withColumnRenamed("v", "id"), colours.withColumnRenamed("colour", "other"), ["id"], "inner", small)
-        inside = frozen(inside.filter("colour = other").select("u", F.col("id").alias("v"), "colour"))
+        inside = stored(inside.filter("colour = other").select("u", F.col("id").alias("v"), "colour"))
         found = _reaching_back(inside, colours.filter("id = colour"), small)
-        done = found if done is None else frozen(done.unionByName(found))
         gone = found.select("id")
         rest = _meet(_meet(inside, gone.withColumnRenamed("id", "u"), ["u"], "left_anti", small), gone.withColumnRenamed("id", "v"), ["v"], "left_anti", small)
-        left = _trimmed(rest.select("u", "v"), small)
+        old, left = left, _trimmed(rest.select("u", "v"), small)
+        discard(old, colours, inside)
+        if done is None:
+            done = found
+        else:
+            old, done = done, stored(done.unionByName(found))
+            discard(old, found)
+    discard(left)
     if done is None:
         return edges.select(F.col("u").alias("id"), F.col("u").alias("component")).limit(0)
     several = done.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour")
@@ -122,16 +139,17 @@ def condensed(pairs: DataFrame, components: DataFrame, small: bool) -> DataFrame
     known = components.withColumnRenamed("id", "u")
     out = _meet(pairs, known, ["u"], "left", small).select(F.coalesce("component", "u").alias("a"), "v")
     out = _meet(out, known.withColumnRenamed("u", "v"), ["v"], "left", small).select("a", F.coalesce("component", "v").alias("b"))
-    return frozen(out.filter("a <> b").distinct())
+    return stored(out.filter("a <> b").distinct())
 
 
 def _deepest(dag: DataFrame, small: bool) -> DataFrame:
     """`id, layer`: edges on the longest way from each component to one that imports nothing further."""
-    layers = newest = frozen(dag.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("layer", F.lit(0).cast("long")))
+    layers = newest = moved = stored(dag.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("layer", F.lit(0).cast("long")))
     while True:
         below = _meet(dag.withColumnRenamed("b", "id"), newest, ["id"], "inner", small).groupBy("a").agg((F.max("layer") + 1).alias("up"))
-        moved = frozen(_meet(layers, below.withColumnRenamed("a", "id"), ["id"], "left", small).select(
+        old, moved = moved, stored(_meet(layers, below.withColumnRenamed("a", "id"), ["id"], "left", small).select(
             "id", F.greatest("layer", "up").alias("layer"), (F.col("up") > F.col("layer")).alias("changed")))
+        discard(old)
         layers, newest = moved.select("id", "layer"), moved.filter("changed").select("id", "layer")
         if not moved.filter("changed").take(1):
             return layers
@@ -145,7 +163,7 @@ def dependency_layers(edges: DataFrame) -> DataFrame:
     """
     modules, pairs = numbered(edges)
     small = _few(modules)
-    components = frozen(strong_components(pairs, small))
+    components = stored(strong_components(pairs, small))
     layers = _deepest(condensed(pairs, components, small), small)
     members = frozen(wide_join(modules, components, ["id"]).withColumn("component", F.coalesce("component", "id")))
     named = members.groupBy("component").agg(F.min("module").alias("cycle"), F.count("*").alias("cycle_size"))
@@ -171,13 +189,14 @@ def hubs(edges: DataFrame, log_size: int = 12) -> DataFrame:
     on cycles depend on themselves, and are not counted for it.
     """
     modules, pairs = numbered(edges)
-    known = newest = frozen(pairs.groupBy(F.col("v").alias("id")).agg(F.theta_sketch_agg("u", F.lit(log_size)).alias("sketch")))
+    known = newest = moved = stored(pairs.groupBy(F.col("v").alias("id")).agg(F.theta_sketch_agg("u", F.lit(log_size)).alias("sketch")))
     while True:
         passed = wide_join(pairs.withColumnRenamed("u", "id"), newest, ["id"], "inner").select(F.col("v").alias("id"), "sketch", F.lit(False).alias("own"))
         passed = passed.unionByName(known.withColumn("own", F.lit(True)))
         grown = passed.groupBy("id").agg(
             F.theta_union_agg("sketch", F.lit(log_size)).alias("sketch"), F.max(F.when(F.col("own"), F.col("sketch"))).alias("was"))
-        moved = frozen(grown.select("id", "sketch", (F.col("was").isNull() | (F.col("sketch") != F.col("was"))).alias("changed")))
+        old, moved = moved, stored(grown.select("id", "sketch", (F.col("was").isNull() | (F.col("sketch") != F.col("was"))).alias("changed")))
+        discard(old)
         known, newest = moved.select("id", "sketch"), moved.filter("changed").select("id", "sketch")
         if not newest.take(1):
             break

@@ -41,6 +41,25 @@ def test_rounds_over_many_modules_broadcast_nothing(spark, monkeypatch, name):
     assert {tuple(r) for r in getattr(cycles, name)(edges).collect()} == want
 
 
+def test_rounds_have_small_plans(spark, monkeypatch):
+    ring = [("p", f"m{i}", f"m{(i + 1) % 4}") for i in range(4)]
+    chain = [("p", f"m{i}", f"m{i + 1}") for i in range(3, 8)] + [("p", "m8", "m7")]
+    edges = spark.createDataFrame(ring + chain, "project_id string, source string, target string")
+    kept, plans, sizes = cycles.stored, [], []
+
+    def watched(df):
+        plans.append(_plan(df).count("Join"))
+        sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return kept(df)
+
+    monkeypatch.setattr(cycles, "stored", watched)
+    monkeypatch.setattr(cycles, "FEW", 0)
+    got = {(r["module"], r["cycle"], r["layer"]) for r in cycles.dependency_layers(edges).collect()}
+    want = {(f"m{i}", "m0", 4) for i in range(4)} | {("m4", "m4", 3), ("m5", "m5", 2), ("m6", "m6", 1), ("m7", "m7", 0), ("m8", "m7", 0)}
+    assert got == want
+    assert len(plans) > 15 and max(plans) <= 4 and max(map(int.bit_length, sizes)) < 256
+
+
 def test_components_beyond_the_limit_broadcast_nothing(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
     monkeypatch.setattr(components, "fits_broadcast", lambda *_: False)
