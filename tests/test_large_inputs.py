@@ -60,6 +60,15 @@ def test_rounds_have_small_plans(spark, monkeypatch):
     assert len(plans) > 15 and max(plans) <= 4 and max(map(int.bit_length, sizes)) < 256
 
 
+def test_joins_beyond_the_limit_broadcast_nothing(spark, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    rows, table = spark.range(100).withColumnRenamed("id", "k"), spark.range(50).selectExpr("id AS k", "id * 2 AS v")
+    for how, n in (("inner", 50), ("left", 100)):
+        for df in (joins.lookup_join(rows, table, ["k"], ["k"], how), joins.sized_join(rows, table, ["k"], how)):
+            assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
+            assert df.count() == n and df.agg({"v": "sum"}).first()[0] == 2450
+
+
 def test_components_beyond_the_limit_broadcast_nothing(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
     monkeypatch.setattr(components, "fits_broadcast", lambda *_: False)
