@@ -2,7 +2,7 @@
 
 A graph is a table of edges (`project_id, source, target`): the source module imports the target. Modules are numbered first, so
 rounds move pairs of numbers only. Every round is stored and the one before it deleted, and one that changes nothing is the last. A stored
-table is judged by its files; Spark would multiply the sizes of frozen ones anew in each join, to numbers of millions of digits that fill the driver. Rounds pass on only
+table is judged by its files; Spark would multiply the sizes of frozen ones anew in each join, to numbers of thousands of digits, which the driver keeps. Rounds pass on only
 what the last one changed, and join by sorting unless there are `FEW` modules: a broadcast each round would go through the driver, whose memory it fills. Edges stream past the modules'
 rows, so a module that very many others import takes time in a task but no memory, and Spark splits its partition if it is skewed.
 """
